@@ -1,0 +1,108 @@
+import random
+import re
+
+import numpy as np
+import xxhash
+
+from korrel.llm import simhash
+
+
+def slow_fingerprint(text):
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    words = re.findall("[^\x20\x09-\x0d]+", low)
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def slow_components(nodes):
+    """Root (least index) of each of a list of fingerprints, by all pairs."""
+    root = list(range(len(nodes)))
+
+    def up(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(nodes):
+        for j in range(i):
+            if (a ^ nodes[j]).bit_count() <= 3:
+                x, y = up(i), up(j)
+                root[max(x, y)] = min(x, y)
+    return [up(i) for i in range(len(nodes))]
+
+
+def test_fingerprint_by_the_definition(corpus):
+    for text in [*corpus, "x \x0b y\x0cz", "one two", "ÀB c d", "w " * 70_000]:
+        assert simhash.simhash(text) == slow_fingerprint(text)
+
+
+def test_spark_hash_is_the_same(spark):
+    row = spark.sql("select xxhash64('a b c') as h").first()
+    assert row.h % (1 << 64) == xxhash.xxh64_intdigest(b"a b c", 42)
+
+
+def test_every_close_pair_meets_at_an_anchor():
+    rng = np.random.default_rng(3)
+    halves = rng.integers(0, 1 << 32, 400, dtype=np.uint64)
+    halves[:3] = [0, (1 << 32) - 1, 1 << 31]
+    near = simhash.home(halves)
+    assert (np.bitwise_count(near ^ halves) <= 1).all()
+    for b in range(32):
+        other = halves ^ np.uint64(1 << b)
+        index, found = simhash.anchors(other)
+        assert (np.bitwise_count(found ^ other[index]) <= 2).all()
+        for i in range(len(halves)):
+            assert near[i] in found[index == i]
+
+
+def test_forest_joins_as_all_pairs_do():
+    rng = random.Random(5)
+    base = rng.getrandbits(64)
+    fps = set()
+    while len(fps) < 3000:
+        x = base
+        for _ in range(rng.randint(0, 7)):
+            x ^= 1 << rng.randrange(64)
+        fps.add(x)
+    fps = sorted(fps)
+    want = slow_components(fps)
+    at = {x: i for i, x in enumerate(fps)}
+    for limit in (simhash.DIVIDE, 10_000):
+        simhash.DIVIDE, old = limit, simhash.DIVIDE
+        try:
+            union = simhash._Union()
+            for a, b in simhash.forest(np.array(fps, dtype=np.uint64)):
+                assert (at[a], at[b]) and want[at[a]] == want[at[b]]
+                union.join(at[a], at[b])
+        finally:
+            simhash.DIVIDE = old
+        assert [union.root(i) for i in range(len(fps))] == want
+
+
+def test_components_of_whole_tables(spark, make_docs, corpus):
+    texts = [*corpus, *corpus[:5]]
+    got = {r.doc_id: r for r in simhash.near_duplicates(make_docs(texts)).collect()}
+    fps = [slow_fingerprint(t) for t in texts]
+    want = slow_components(fps)
+    assert len(got) == len(texts)
+    for i in range(len(texts)):
+        assert got[i].fp % (1 << 64) == fps[i]
+        assert got[i].component_id == want[i]
+
+
+def test_empty_null_and_repeated(spark, make_docs):
+    assert simhash.near_duplicates(make_docs([])).collect() == []
+    rows = simhash.near_duplicates(make_docs([(4, "a b c d"), (4, "a b c d"), (None, "a b c d"), (None, "q r s t u v"), (9, None)])).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.component_id or -1) for r in rows) == [(False, 4, 4), (False, 4, 4), (False, 9, 9), (True, 0, -1), (True, 0, 4)]
+
+
+def test_a_long_chain(spark):
+    from korrel.llm.common import Scratch, components
+
+    n = 300
+    edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1000 + i) for i in range(50)], "a long, b long")
+    got = {r.node: r.root for r in components(edges, Scratch(spark)).collect()}
+    assert got == {**dict.fromkeys(range(1, n + 1), 0), **dict.fromkeys(range(1001, 1050), 1000)}
