@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from korrel.llm import bpe, simhash
+from korrel.llm import bpe, packing, simhash
 from korrel.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,8 +22,12 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_simhash": op1_simhash, "op7_bpe": op7_bpe}
+    return {"op1_simhash": op1_simhash, "op7_bpe": op7_bpe, "op8_packing": op8_packing}
 
 
 def oracle_sql() -> dict[str, str]:

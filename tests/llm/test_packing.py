@@ -1,0 +1,99 @@
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from korrel.llm import packing
+
+PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@pytest.fixture(scope="module")
+def known():
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    return t
+
+
+def held(bins, histogram, capacity):
+    got = Counter()
+    for items, count in bins:
+        assert count > 0 and 0 < sum(items) <= capacity
+        assert sum(3 * n > capacity for n in items) <= 2
+        for n in items:
+            got[n] += count
+    assert got == {n: c for n, c in histogram.items() if c}
+    return sum(c for _, c in bins)
+
+
+def best_fit(lengths, capacity):
+    gaps = []
+    for n in sorted(lengths, reverse=True):
+        at = min((i for i, g in enumerate(gaps) if g >= n), key=lambda i: gaps[i], default=None)
+        if at is None:
+            gaps.append(capacity - n)
+        else:
+            gaps[at] -= n
+    return len(gaps)
+
+
+@pytest.mark.parametrize("capacity", [10, 64, 1024])
+def test_plans_hold_all_items_in_few_bins(capacity):
+    rng = random.Random(capacity)
+    for _ in range(40):
+        top = rng.choice([capacity - 1, capacity // 2, max(2, capacity // 4)])
+        lengths = [rng.randint(1, max(1, top)) for _ in range(rng.randint(0, 400))]
+        histogram = Counter(lengths)
+        bins = held(packing.plan(histogram, capacity), histogram, capacity)
+        assert bins >= -(-sum(lengths) // capacity)
+        assert bins <= best_fit(lengths, capacity) + 1 + len(lengths) // 100
+
+
+def test_a_plan_does_not_grow_with_the_counts():
+    rng = random.Random(1)
+    histogram = {n: rng.randint(1, 10**9) for n in range(1, 1024)}
+    bins = packing.plan(histogram)
+    held(bins, histogram, 1024)
+    assert len(bins) < 20_000
+
+
+def test_cuts():
+    assert packing.cuts(1) == [(0, 1)]
+    assert packing.cuts(1024) == [(0, 1024)]
+    assert packing.cuts(1025) == [(0, 1), (1, 1024)]
+    assert packing.cuts(2500) == [(0, 452), (452, 1024), (1476, 1024)]
+
+
+def check(rows, texts, known):
+    ids = {i: [*known.encode(t or "", add_special_tokens=False).ids, 2] for i, t in texts.items()}
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for r in rows:
+        by_doc[r.doc_id].append(r)
+        by_sequence[r.sequence_id].append(r)
+    assert by_doc.keys() == ids.keys()
+    for i, parts in by_doc.items():
+        parts.sort(key=lambda r: r.piece)
+        assert [(r.piece, r.start, r.length) for r in parts] == [(p, *c) for p, c in enumerate(packing.cuts(len(ids[i])))]
+        for r in parts:
+            assert r.ids_crc32 == zlib.crc32(np.array(ids[i][r.start : r.start + r.length], dtype="<u4").tobytes())
+    for parts in by_sequence.values():
+        at = 0
+        for r in sorted(parts, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 1024
+    return len(by_sequence), [r.length for r in rows]
+
+
+def test_rows(spark, make_docs, corpus, known):
+    texts = dict(enumerate([*corpus, "<|endoftext|>", " " * 50_000 + "x"]))
+    docs = make_docs(list(texts.items())).repartition(5).withColumn("length", packing.F.lit("clash"))
+    bins, lengths = check(packing.pack(docs, PATH, public_tokenizers.PATTERN).collect(), texts, known)
+    assert bins <= best_fit(lengths, 1024) + 1
+    assert packing.pack(make_docs([]), PATH, public_tokenizers.PATTERN).collect() == []
+    twice = packing.pack(make_docs([(1, "a"), (1, "a"), (None, None)]), PATH, public_tokenizers.PATTERN).collect()
+    assert sorted((r.doc_id or -1, r.length) for r in twice) == [(-1, 1), (1, 2), (1, 2)]
