@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from korrel.llm import bpe, packing, simhash
+from korrel.llm import bpe, packing, simhash, toxicity
 from korrel.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,8 +27,15 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.train_held_out(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    held_out = F.coalesce(toxicity.held_out(), F.lit(False)).alias("held_out")
+    return toxicity.scores(docs, model).select("doc_id", held_out, "score", "predicted", F.size("spans").alias("n_spans"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_simhash": op1_simhash, "op7_bpe": op7_bpe, "op8_packing": op8_packing}
+    return {"op1_simhash": op1_simhash, "op7_bpe": op7_bpe, "op8_packing": op8_packing, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
