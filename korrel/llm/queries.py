@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korrel.llm import bpe, packing, simhash, toxicity
+from korrel.llm import bpe, language, packing, simhash, toxicity
 from korrel.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,13 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id", "n_copies")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = F.coalesce(language.held_out(), F.lit(False))
+    model = language.train(docs.filter(~held_out), public_tokenizers.path("piece_bpe_32k.model"))
+    return language.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -35,7 +42,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_simhash": op1_simhash, "op7_bpe": op7_bpe, "op8_packing": op8_packing, "op10_toxicity": op10_toxicity}
+    return {"op1_simhash": op1_simhash, "op2_language": op2_language, "op7_bpe": op7_bpe, "op8_packing": op8_packing, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
