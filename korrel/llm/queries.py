@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korrel.llm import bpe, language, packing, simhash, toxicity
+from korrel.llm import bpe, language, media, packing, simhash, toxicity
 from korrel.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.features(media.store_texts(documents(spark, sf_dir)))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.train_held_out(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -42,7 +46,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_simhash": op1_simhash, "op2_language": op2_language, "op7_bpe": op7_bpe, "op8_packing": op8_packing, "op10_toxicity": op10_toxicity}
+    return {"op1_simhash": op1_simhash, "op2_language": op2_language, "op7_bpe": op7_bpe, "op8_packing": op8_packing, "op9_media": op9_media, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
