@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korrel.llm import bpe, language, media, packing, simhash, suffix, toxicity
+from korrel.llm import bpe, language, media, packing, simhash, substring_index, suffix, toxicity
 from korrel.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(documents(spark, sf_dir)).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_index.remove_repeats(documents(spark, sf_dir)).select("row.doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -50,7 +54,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_simhash": op1_simhash, "op2_language": op2_language, "op4_suffix": op4_suffix, "op7_bpe": op7_bpe, "op8_packing": op8_packing, "op9_media": op9_media, "op10_toxicity": op10_toxicity}
+    return {"op1_simhash": op1_simhash, "op2_language": op2_language, "op4_suffix": op4_suffix, "op6_substrings": op6_substrings, "op7_bpe": op7_bpe, "op8_packing": op8_packing, "op9_media": op9_media, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
