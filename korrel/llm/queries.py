@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korrel.llm import bpe, language, media, packing, simhash, substring_index, suffix, toxicity
+from korrel.llm import bpe, language, licences, media, packing, simhash, sketch, substring_index, suffix, toxicity
 from korrel.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,10 +26,18 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(documents(spark, sf_dir))
+
+
 def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(documents(spark, sf_dir)).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op5_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.compare_with_next(documents(spark, sf_dir))
+
+
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_index.remove_repeats(documents(spark, sf_dir)).select("row.doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -54,8 +62,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_simhash": op1_simhash, "op2_language": op2_language, "op4_suffix": op4_suffix, "op6_substrings": op6_substrings, "op7_bpe": op7_bpe, "op8_packing": op8_packing, "op9_media": op9_media, "op10_toxicity": op10_toxicity}
+    return {"op1_simhash": op1_simhash, "op2_language": op2_language, "op3_licences": op3_licences, "op4_suffix": op4_suffix, "op5_sketch": op5_sketch, "op6_substrings": op6_substrings, "op7_bpe": op7_bpe, "op8_packing": op8_packing, "op9_media": op9_media, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_licences": licences.sql()}
