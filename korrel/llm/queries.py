@@ -62,7 +62,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_simhash": op1_simhash, "op2_language": op2_language, "op3_licences": op3_licences, "op4_suffix": op4_suffix, "op5_sketch": op5_sketch, "op6_substrings": op6_substrings, "op7_bpe": op7_bpe, "op8_packing": op8_packing, "op9_media": op9_media, "op10_toxicity": op10_toxicity}
+    import corpus_pipeline
+
+    return {"op1_simhash": op1_simhash, "op2_language": op2_language, "op3_licences": op3_licences, "op4_suffix": op4_suffix, "op5_sketch": op5_sketch, "op6_substrings": op6_substrings, "op7_bpe": op7_bpe, "op8_packing": op8_packing, "op9_media": op9_media, "op10_toxicity": op10_toxicity, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -39,7 +39,7 @@ SEED = 42
 DIVIDE = 2048
 _CHUNK = 1 << 16
 
-_FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+_FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("t", pa.int64())])
 _REPLICAS = pa.schema([("anchor", pa.int64()), ("fp", pa.int64())])
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -64,13 +64,17 @@ def simhash(text: str | None) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def _signed(x: int) -> tuple[int]:
-    return (x - (1 << 64) if x >> 63 else x,)
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long, for each row of ``docs``."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(by_row(_FINGERPRINTS, lambda x: _signed(simhash(x))), "doc_id long, fp long")
+    """(doc_id, fp, t): fingerprint and hash of the text, as signed longs, for each row of ``docs``."""
+
+    def row(text: str | None) -> tuple[int, int]:
+        return _signed(simhash(text)), _signed(xxhash.xxh64_intdigest((text or "").encode(), SEED))
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(by_row(_FINGERPRINTS, row), "doc_id long, fp long, t long")
 
 
 def _syndromes(words: np.ndarray) -> np.ndarray:
@@ -212,6 +216,12 @@ def links(fps: DataFrame) -> DataFrame:
     return replicas.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare, "a long, b long")
 
 
+def _roots(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """``nodes`` with the root of each one's component."""
+    roots = components(links(nodes), scratch)
+    return nodes.join(roots, nodes.fp == roots.node, "left").drop("node").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id, n_copies) for each row of ``docs``.
 
@@ -219,14 +229,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bits, ``n_copies`` the number of rows with the same fingerprint.
     """
     scratch = Scratch(docs.sparkSession)
-    rows = scratch.keep(fingerprints(docs), "fingerprints")
+    rows = scratch.keep(fingerprints(docs).drop("t"), "fingerprints")
     nodes = scratch.keep(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies")), "nodes")
-    roots = components(links(nodes), scratch)
-    named = scratch.keep(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", "n_copies", F.coalesce("root", "fp").alias("root")), "named")
+    named = scratch.keep(_roots(nodes, scratch), "named")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = scratch.keep(named.join(least, "root").select("fp", "component_id", "n_copies"), "labels")
     return rows.join(labels, "fp").select("doc_id", "fp", "component_id", "n_copies")
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each component, all columns as they were: the one with the least
+    id, null ids last, and of equal ids the least hash of the text."""
+    scratch = Scratch(docs.sparkSession)
+    did = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+    rows = scratch.keep(fingerprints(docs).select(did.alias("did"), "fp", "t"), "fingerprints")
+    nodes = scratch.keep(rows.groupBy("fp").agg(F.min(F.struct("did", "t")).alias("least")), "nodes")
+    kept = scratch.keep(_roots(nodes, scratch).groupBy("root").agg(F.min("least").alias("least")).select("least.*"), "kept")
+    kept = kept.select(F.col("did").alias("korrel_did"), F.col("t").alias("korrel_t"))
+    text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    out = docs.join(kept, (did == F.col("korrel_did")) & (text == F.col("korrel_t")), "left_semi")
+    if not rows.groupBy("did", "t").count().filter("count > 1").isEmpty():
+        out = out.withColumns({"korrel_did": did, "korrel_t": text}).dropDuplicates(["korrel_did", "korrel_t"]).drop("korrel_did", "korrel_t")
+    return out
+
+
 def hex_fingerprint(column: str = "fp"):
     return F.lower(F.lpad(F.hex(column), 16, "0"))
