@@ -32,6 +32,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +42,10 @@ from korrel.llm.common import Scratch, pieces, texts
 SAMPLE = 4000
 #: Most words in the lexicon.
 LEXICON = 2000
+#: Least odds ratio, of toxic against other documents, of a word in the lexicon.
+ODDS = 5.0
+#: Least share of a word's toxic documents in which its neighbours differ.
+VARIED = 0.3
 #: Score from which a document counts as toxic.
 THRESHOLD = 0.7
 #: Words counted by a task before it hands the counts on.
@@ -244,14 +249,23 @@ def train(docs: DataFrame, labels: DataFrame) -> Field:
         out.level = float(np.log((n_toxic + 1e-9) / (n - n_toxic + 1e-9)))
     if not 0 < n_toxic < n:
         return out
-    read = docs.join(chosen, "doc_id")
+    read = scratch.keep(docs.join(chosen, "doc_id").withColumn("order", F.xxhash64("doc_id")), "training")
+    scratch.release()
     counts = read.select("text", "toxic").mapInArrow(_counts, "word string, toxic int, n long")
     counts = scratch.keep(counts.groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("n1"), F.sum("n").alias("n")), "words")
     share = n_toxic / n
-    vocabulary = max(counts.count(), 1)
+    least = math.log(max(counts.count(), 1)) + 1
     n0 = F.col("n") - F.col("n1")
     gain = F.col("n1") * F.log(F.col("n1") / F.col("n") / share) + F.when(n0 > 0, n0 * F.log(n0 / F.col("n") / (1 - share))).otherwise(0)
-    lexicon = counts.filter((F.col("n1") > share * F.col("n"))).withColumn("gain", gain).filter(F.col("gain") > math.log(vocabulary) + 1).orderBy(F.desc("gain"), "word").limit(LEXICON).collect()
+    often = F.col("n1") * (1 - share) > ODDS * share * n0
+    candidates = counts.filter(often).withColumn("gain", gain).filter(F.col("gain") > least).orderBy(F.desc("gain"), "word").limit(LEXICON).collect()
+    places = _places(read.filter("toxic = 1").select("text"), [r.word for r in candidates])
+    lexicon = []
+    for r in candidates:
+        c, clean = places.get(r.word, 0), r.n - r.n1
+        total = c + clean
+        if c >= VARIED * r.n1 and c and c * math.log(c / total / share) + (clean * math.log(clean / total / (1 - share)) if clean else 0) > least:
+            lexicon.append(r)
     out.words = {r.word: i for i, r in enumerate(lexicon)}
     start = np.array([math.log((r.n1 + 0.5) / (r.n - r.n1 + 0.5) / share * (1 - share)) for r in lexicon])
     words = out.words
@@ -263,19 +277,41 @@ def train(docs: DataFrame, labels: DataFrame) -> Field:
                 rows = [sequence(x, words) for x in texts(part)]
                 yield pa.RecordBatch.from_arrays([part.column("toxic").cast(pa.int32()), pa.array([g for g, _ in rows], schema.field(1).type), pa.array([w for _, w in rows], schema.field(2).type)], schema=schema)
 
-    by_hash = F.xxhash64("doc_id")
-    some = None
-    for toxic in (0, 1):  # at most SAMPLE rows: bounded, so broadcast
-        half = chosen.filter((F.col("toxic") == 1) == bool(toxic)).orderBy(by_hash, "doc_id").limit(SAMPLE // 2)
-        some = half if some is None else some.unionByName(half)
-    sample = docs.join(F.broadcast(some), "doc_id").select("text", "toxic").mapInArrow(sequences, "toxic int, gaps array<long>, words array<int>")
-    rows = sorted((int(r.toxic == 1), list(r.gaps), list(r.words)) for r in sample.collect())
+    rows = []
+    for toxic in (0, 1):
+        some = read.filter((F.col("toxic") == 1) == bool(toxic)).select("order", "doc_id").orderBy("order", "doc_id").limit(SAMPLE // 2)
+        sample = read.join(F.broadcast(some), ["order", "doc_id"])  # at most SAMPLE / 2 rows: bounded, so broadcast
+        found = sample.select("text", "toxic").mapInArrow(sequences, "toxic int, gaps array<long>, words array<int>")
+        rows += sorted((toxic, list(r.gaps), list(r.words)) for r in found.collect())
     out.weights, out.shared, out.slope, out.level = fit(rows, start, share)
-    scratch.drop(chosen)
-    scratch.drop(counts)
+    for table in (chosen, counts, read):
+        scratch.drop(table)
     return out
 
 
+def _places(toxic: DataFrame, candidates: list[str]) -> dict[str, int]:
+    """In how many different places, by the two neighbouring words, each candidate stands."""
+    number = {w: i for i, w in enumerate(candidates)}
+    schema = pa.schema([("word", pa.int32()), ("place", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch):
+                found = set()
+                for text in texts(part):
+                    words = ["", *_WORD.findall(folded(text)[0]), ""]
+                    if not number.keys().isdisjoint(words):
+                        for i, w in enumerate(words):
+                            if w in number:
+                                found.add((number[w], xxhash.xxh3_64_intdigest(f"{words[i - 1]} {words[i + 1]}") >> 1))
+                yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in found], f.type) for j, f in enumerate(schema)], schema=schema)
+
+    if not candidates:
+        return {}
+    rows = toxic.mapInArrow(run, "word int, place long").distinct().groupBy("word").count().collect()
+    return {candidates[r.word]: r["count"] for r in rows}
+
+
 def tag(text: str, model: Field) -> list[tuple[int, int, float]]:
     """(start, end, marginal) of the lexicon words that are toxic at 0.5 or more, in code points of the text; neighbours are joined to one span."""
     low, places = folded(text)
