@@ -1,0 +1 @@
+"""A relational analytics engine on PySpark: scans, operators and storage as DataFrames."""
