@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
-import gc
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,54 +9,13 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from korrel.scratch import Scratch, shared_dir
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+__all__ = ["Scratch", "by_row", "components", "documents", "pieces", "shared_dir", "texts"]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only a single-JVM local session, as in tests, may lack the setting.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="korrel-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-class Scratch:
-    """Written intermediate tables: they cut lineage and survive lost executors."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/korrel-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
-        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        self.fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        self.fs.deleteOnExit(path)
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """``df`` written as Parquet and read back."""
-        path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table that nothing reads any more."""
-        path = self.paths.pop(id(df), None)
-        if path:
-            self.fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path), True)
-
-    def release(self) -> None:
-        """Let Spark remove shuffle files of plans that are out of use."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
@@ -123,13 +77,3 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
     else:
         raise RuntimeError("components did not converge")
     return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
-
-
-@contextlib.contextmanager
-def setting(spark: SparkSession, key: str, value: str):
-    old = spark.conf.get(key, None)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, old) if old is not None else spark.conf.unset(key)

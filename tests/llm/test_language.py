@@ -1,0 +1,105 @@
+import math
+import random
+
+import numpy as np
+import public_tokenizers
+import pytest
+
+from korrel.llm import language
+
+PATH = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def texts(n, seed):
+    rng = random.Random(seed)
+    syllables = {"aa": ["the", "ing", "and", "tion", "er"], "bb": ["der", "sch", "ung", "ein", "ß"], "cc": ["eau", "que", "é", "les", "ou"]}
+    out = []
+    for _ in range(n):
+        lang = rng.choice(sorted(syllables))
+        words = ["".join(rng.choice(syllables[lang]) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(4, 60))]
+        out.append((lang, " ".join(words).capitalize() + ". 42!"))
+    return out
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, lang, "s", 0) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    return language.train(frame(spark, [*texts(150, 1), (None, "no label"), ("aa", None), ("aa", "")]).repartition(3), PATH, rounds=2)
+
+
+def segmentations(word, own, pieces):
+    """All ways to write a marked word with pieces; each as a list of ids."""
+    if not word:
+        yield []
+    for size in range(1, len(word) + 1):
+        found = pieces.get(word[:size])
+        if found is None and size == 1:
+            found = own.unknown
+        if found is not None:
+            for rest in segmentations(word[size:], own, pieces):
+                yield [found, *rest]
+
+
+def test_forward_sums_all_segmentations():
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    own = language.vocabulary(PATH)
+    kept = {int(i) for ids in own.ids.values() for i in ids}
+    pieces = {sp.id_to_piece(i): i for i in kept}
+    rng = np.random.default_rng(1)
+    chances = rng.random((own.size, 2)) / 1000
+    words = ["a", "the", "eine", "straße", "queue", "日本", "ᚠᛇ", "thethe"]
+    got = language.log_probabilities(words, own, chances)
+    counts = {w: np.array([i + 1.0, 2.0]) for i, w in enumerate(words)}
+    uses = np.zeros((own.size, 2))
+    for i, w in enumerate(words):
+        ways = list(segmentations("▁" + w, own, pieces))
+        for x in (0, 1):
+            weights = [math.prod(chances[p, x] for p in way) for way in ways]
+            assert got[i, x] == pytest.approx(math.log(sum(weights)))
+            for way, weight in zip(ways, weights, strict=True):
+                for p in way:
+                    uses[p, x] += counts[w][x] * weight / sum(weights)
+    assert language.expectations(counts, own, chances) == pytest.approx(uses)
+
+
+def test_held_out_accuracy(spark, model):
+    rows = texts(120, 2)
+    assert model.languages == ["aa", "bb", "cc"] and model.chances.sum(axis=0) == pytest.approx(1)
+    got = {r.doc_id: r for r in language.predict(frame(spark, rows), model).collect()}
+    assert sum(got[i].lang_pred == lang for i, (lang, _) in enumerate(rows)) == len(rows)
+    assert all(0.5 < r.score <= 1 for r in got.values())
+
+
+def test_partitions_change_nothing(spark):
+    rows = texts(60, 3)
+    a, b = (language.train(frame(spark, rows).repartition(n), PATH) for n in (1, 4))
+    assert a.chances == pytest.approx(b.chances, rel=1e-4)
+
+
+def test_forgetting_changes_nothing(model):
+    rows = [t for _, t in texts(40, 4)]
+    want = language.Scorer(model).predict(rows)
+    old, language.REMEMBERED = language.REMEMBERED, 30
+    try:
+        scorer = language.Scorer(model)
+        got = [scorer.predict([r]) for r in rows]
+    finally:
+        language.REMEMBERED = old
+    assert [g[0][0] for g in got] == want[0] and [g[1][0] for g in got] == pytest.approx(want[1])
+
+
+def test_no_letters_and_odd_texts(spark, model):
+    rows = [(None, None), (None, ""), (None, "12 !?"), (None, "x" * 500), (None, "日本語" * 30), (None, "the the"), (None, "the the")]
+    got = sorted(language.predict(frame(spark, rows), model).collect(), key=lambda r: r.doc_id)
+    assert [(r.lang_pred, r.score) for r in got[:3]] == [("und", 0.0)] * 3
+    assert all(r.lang_pred in model.languages and 0 < r.score <= 1 for r in got[3:]) and got[5].score == got[6].score
+    assert language.predict(frame(spark, []), model).collect() == []
+    empty = language.train(frame(spark, []), PATH)
+    assert language.predict(frame(spark, rows), empty).first().lang_pred == "und"
+    kept = language.keep_identified(frame(spark, rows), model)
+    assert {r.doc_id for r in kept.collect()} == {3, 4, 5, 6} and kept.schema == frame(spark, rows).schema
