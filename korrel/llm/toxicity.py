@@ -45,7 +45,7 @@ LEXICON = 2000
 #: Least odds ratio, of toxic against other documents, of a word in the lexicon.
 ODDS = 5.0
 #: Least share of a word's toxic documents in which its neighbours differ.
-VARIED = 0.3
+VARIED = 0.5
 #: Score from which a document counts as toxic.
 THRESHOLD = 0.7
 #: Words counted by a task before it hands the counts on.
