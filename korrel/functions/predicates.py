@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,10 +40,8 @@ def less(table: Table, field: str, value: Any) -> Column:
 
 def custom(function: Callable[..., bool], *fields: str) -> Column:
     """Any function of some fields, as a last resort: it runs in Python, row batches at a time."""
-    import pandas as pd
+    @F.pandas_udf("boolean")
+    def apply(rows: pd.DataFrame) -> pd.Series:
+        return pd.Series([bool(function(*x)) for x in rows.itertuples(index=False, name=None)], dtype=bool)
 
-    def apply(*series: pd.Series) -> pd.Series:
-        return pd.Series([bool(function(*x)) for x in zip(*series, strict=True)], dtype=bool)
-
-    apply.__annotations__ = {"return": pd.Series}
-    return F.pandas_udf(apply, "boolean", F.PandasUDFType.SCALAR)(*(column(f) for f in fields))
+    return apply(F.struct(*(column(f) for f in fields)))
