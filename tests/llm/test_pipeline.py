@@ -1,0 +1,160 @@
+import random
+import re
+from collections import defaultdict
+
+import pytest
+
+import corpus_pipeline
+from korrel.llm import toxicity
+from korrel.llm.queries import oracle_sql, queries
+
+SF = "/root/testdata/sf0.001"
+LANGS = {"en": ["the", "ing", "and", "tion", "er", "wh"], "fr": ["eau", "que", "é", "les", "ou", "tion"]}
+
+
+def make(rng, lang, n):
+    return ["".join(rng.choice(LANGS[lang]) for _ in range(rng.randint(1, 4))) for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    """A small corpus with a case of each kind; the cases' ids by name."""
+    rng, rows, labels, cases = random.Random(2), [], [], defaultdict(list)
+
+    def add(words, lang="en", case=None, toxic=0):
+        i = len(rows)
+        rows.append((i, words if isinstance(words, str) or words is None else " ".join(words), lang, "s", 7))
+        labels.append((i, 1, toxic))
+        if case:
+            cases[case].append(i)
+
+    for i in range(400):
+        lang = rng.choice(sorted(LANGS))
+        words = make(rng, lang, rng.randint(20, 200))
+        toxic = i % 5 == 0
+        if toxic:
+            for _ in range(4):
+                words.insert(rng.randint(0, len(words)), rng.choice(["zidiot", "zmoron"]))
+        add(words, lang, "toxic" if toxic else "clean", int(toxic))
+    base = make(rng, "en", 300)
+    for _ in range(3):
+        add(base, case="copies")
+    for k in range(4):
+        near = list(base)
+        near[k * 7 + 3] = "ander"
+        add(near, case="copies")
+    passage = make(rng, "fr", 60)
+    for _ in range(5):
+        add(make(rng, "fr", 50) + passage + make(rng, "fr", 50), "fr", "passage")
+    add("123 456 !!", case="no letters")
+    add("", case="no letters")
+    add(None, case="no letters")
+    path = tmp_path_factory.mktemp("sf")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return str(path), cases, {r[0]: r[1] for r in rows}
+
+
+@pytest.fixture(scope="module")
+def stages(spark, folder, tmp_path_factory):
+    path, _, _ = folder
+    out, docs = {}, spark.read.parquet(f"{path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        at = str(tmp_path_factory.mktemp("stages") / name)
+        stage(spark, docs, path).write.parquet(at)
+        docs = spark.read.parquet(at)
+        out[name] = docs
+    return out
+
+
+def test_order():
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "language", "near_duplicates", "substrings", "packing"]
+
+
+def ids(df):
+    return {r.doc_id for r in df.select("doc_id").collect()}
+
+
+def test_each_stage(spark, folder, stages):
+    path, cases, texts = folder
+    columns = spark.read.parquet(f"{path}/documents.parquet").columns
+    assert all(stages[n].columns == columns for n, _ in corpus_pipeline.STAGES[:-1])
+    every = set(texts)
+    assert ids(stages["toxicity"]) == every - set(cases["toxic"])
+    assert ids(stages["language"]) == every - set(cases["toxic"]) - set(cases["no letters"])
+    near = ids(stages["near_duplicates"])
+    assert len(near & set(cases["copies"])) <= 4 and cases["copies"][0] in near and not set(cases["copies"][1:3]) & near
+    assert set(cases["clean"]) | set(cases["passage"]) <= near
+
+
+def test_near_duplicates_by_all_pairs(stages):
+    from test_simhash import slow_components, slow_fingerprint
+
+    before = sorted(stages["language"].collect(), key=lambda r: r.doc_id)
+    roots = slow_components([slow_fingerprint(r.text) for r in before])
+    assert ids(stages["near_duplicates"]) == {before[i].doc_id for i in set(roots)}
+
+
+def test_substrings_by_all_windows(stages):
+    seen, want = set(), {}
+    for r in sorted(stages["near_duplicates"].collect(), key=lambda r: r.doc_id):
+        words = r.text.split()
+        cover = set()
+        for i in range(len(words) - 19):
+            window = tuple(words[i : i + 20])
+            if window in seen:
+                cover |= set(range(i, i + 20))
+            seen.add(window)
+        want[r.doc_id] = " ".join(w for i, w in enumerate(words) if i not in cover) if cover else r.text
+    got = {r.doc_id: r for r in stages["substrings"].collect()}
+    assert {i: r.text for i, r in got.items()} == want
+    assert all(r.n_chars == len(r.text) and r.lang in LANGS for r in got.values())
+
+
+def test_packing_holds_every_document(stages):
+    rows = stages["packing"].collect()
+    assert {r.doc_id for r in rows} == ids(stages["substrings"])
+    used = defaultdict(int)
+    for r in rows:
+        used[r.sequence_id] += r.length
+    assert max(used.values()) <= 1024 and len(used) <= -(-sum(used.values()) // 1024) + 1
+
+
+def test_run_equals_the_stages(spark, folder, stages):
+    key = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    assert sorted(corpus_pipeline.run(spark, folder[0]).select(*key).collect()) == sorted(stages["packing"].select(*key).collect())
+
+
+def test_one_row_of_each_group_whatever_its_ids(spark):
+    from korrel.llm import simhash
+
+    a, b = "one two three four five six", "other words that are not like them at all"
+    rows = [(None, a), (None, a), (3, a), (3, a), (None, b), (None, b), (7, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", 1) for i, t in rows], "doc_id long, text string, fp string, did int")
+    got = simhash.keep_one(docs)
+    assert got.schema == docs.schema
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in got.collect()) == [(-1, b), (3, a), (7, "")]
+    assert simhash.keep_one(docs.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("name", sorted(queries()))
+def test_every_query_runs(spark, name):
+    df = queries()[name](spark, SF)
+    rows = df.collect()
+    documents = spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert len(rows) == documents or name in ("op8_packing", "pipeline") and rows
+    if name in oracle_sql():
+        import oracle
+
+        oracle.same(df, oracle_sql()[name], oracle.connect(SF))
+
+
+def test_toxicity_query_keeps_its_split(spark):
+    rows = queries()["op10_toxicity"](spark, SF).collect()
+    import zlib
+
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
+    assert all(r.predicted == int(r.score >= toxicity.THRESHOLD) for r in rows)
+    rows = queries()["op2_language"](spark, SF).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
+    assert all(re.fullmatch("[a-z]+", r.lang_pred) for r in rows)
