@@ -249,7 +249,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Field:
         out.level = float(np.log((n_toxic + 1e-9) / (n - n_toxic + 1e-9)))
     if not 0 < n_toxic < n:
         return out
-    read = scratch.keep(docs.join(chosen, "doc_id").withColumn("order", F.xxhash64("doc_id")), "training")
+    # Labels grow with the documents: the same join at every size, never a broadcast.
+    read = scratch.keep(docs.join(chosen.hint("merge"), "doc_id").withColumn("order", F.xxhash64("doc_id")), "training")
     scratch.release()
     counts = read.select("text", "toxic").mapInArrow(_counts, "word string, toxic int, n long")
     counts = scratch.keep(counts.groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("n1"), F.sum("n").alias("n")), "words")
