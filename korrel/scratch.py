@@ -19,11 +19,17 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="korrel-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        application = spark.sparkContext.applicationId
+        if application not in _local:
+            _local[application] = "file://" + tempfile.mkdtemp(prefix="korrel-")
+        found = _local[application]
     return found.rstrip("/")
 
 
+#: Folders made for single-JVM sessions, by application.
+_local: dict[str, str] = {}
+
+
 class Scratch:
     """Written intermediate tables: they cut lineage and survive lost executors."""
 

@@ -1,7 +1,14 @@
 import os
+import subprocess
+import sys
+from pathlib import Path
+
+import pytest
 
 from korrel.scratch import Scratch, shared_dir
 
+REPO = Path(__file__).resolve().parents[1]
+
 
 def test_tables_are_written_below_the_shared_folder(spark):
     scratch = Scratch(spark)
@@ -17,10 +24,24 @@ def test_tables_are_written_below_the_shared_folder(spark):
     scratch.release()
 
 
-def test_the_setting_wins(spark, tmp_path):
-    old = shared_dir(spark)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/")
-    try:
-        assert shared_dir(spark) == f"file://{tmp_path}"
-    finally:
-        spark.conf.set("spark.checkpoint.dir", old)
+SCRIPT = """
+import sys
+from pyspark.sql import SparkSession
+from korrel.scratch import shared_dir
+b = SparkSession.builder.config("spark.ui.enabled", "false")
+for x in sys.argv[1:]:
+    b = b.config(*x.split("=", 1))
+spark = b.getOrCreate()
+try:
+    print("AT", shared_dir(spark), shared_dir(spark) == shared_dir(spark))
+except RuntimeError:
+    print("AT none")
+spark.stop()
+"""
+
+
+@pytest.mark.parametrize("conf,at", [(["spark.master=local[1]", "spark.checkpoint.dir=file:///tmp/korrel-set/"], "AT file:///tmp/korrel-set True"), (["spark.master=local-cluster[1,1,1024]"], "AT none"), (["spark.master=local[1]"], "AT file:///tmp/korrel-")])
+def test_only_local_sessions_may_lack_the_setting(conf, at, tmp_path):
+    env = {**os.environ, "SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": str(REPO)}  # no defaults of this machine
+    done = subprocess.run([sys.executable, "-c", SCRIPT, *conf], cwd=REPO, env=env, capture_output=True, text=True, timeout=120)
+    assert at in done.stdout, done.stderr
