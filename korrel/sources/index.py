@@ -16,6 +16,8 @@ from korrel.sources.heap import HeapFile
 _ENTRIES = "key long, file string, row long"
 #: Heap files named by a lookup above which the whole heap is listed instead.
 FILES = 1000
+#: Entries up to which a lookup is broadcast to the heap's files.
+ENTRIES = 1_000_000
 
 
 class Index:
@@ -67,10 +69,13 @@ class Index:
         return self.entries().filter(F.col("key") >= key).orderBy("key")
 
     def _fetch(self, found: DataFrame, heap: HeapFile) -> DataFrame:
-        files = [r.file for r in found.select("file").distinct().limit(FILES + 1).collect()]
+        files = found.groupBy("file").count().limit(FILES + 1).collect()
         if not files:
             return heap.scan_with_ids().limit(0).select(F.lit(0).cast("long").alias("key"), "record")
-        rows = heap.scan_with_ids(files if len(files) <= FILES else None)
+        few = len(files) <= FILES
+        rows = heap.scan_with_ids([r.file for r in files] if few else None)
+        if few and sum(r["count"] for r in files) <= ENTRIES:
+            found = F.broadcast(found)  # else the heap would be shuffled to meet a few entries
         return rows.join(found, (F.col("id.file") == found.file) & (F.col("id.row") == found.row)).select("key", "record")
 
     def scan_equal(self, heap: HeapFile, name: str, key: int) -> Table:
