@@ -1,0 +1,29 @@
+import os
+import subprocess
+import sys
+from pathlib import Path
+
+REPO = Path(__file__).resolve().parents[1]
+
+SCRIPT = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import SparkSession
+from korrel.ship import ensure_importable
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+ensure_importable(spark)
+ensure_importable(spark)
+
+def use(batches):
+    import korrel.schema
+    yield from batches
+
+print("ROWS", spark.range(5).mapInArrow(use, "id long").count())
+spark.stop()
+"""
+
+
+def test_workers_elsewhere_get_the_package(tmp_path):
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", SCRIPT, str(REPO)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert "ROWS 5" in done.stdout, done.stderr[-2000:]
