@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from korrel.scratch import Scratch, shared_dir
+from korrel.ship import ensure_importable
 
 __all__ = ["Scratch", "by_row", "components", "documents", "pieces", "shared_dir", "texts"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, for operators that run Python on the executors."""
+    ensure_importable(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -27,7 +27,7 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licences.scan(documents(spark, sf_dir))
+    return licences.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
