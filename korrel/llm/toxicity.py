@@ -40,8 +40,9 @@ from korrel.llm.common import Scratch, pieces, texts
 
 #: Most training documents that the field's weights are fitted on.
 SAMPLE = 4000
-#: Most words in the lexicon.
+#: Most words in the lexicon, and most of those from which it is chosen.
 LEXICON = 2000
+CANDIDATES = 50_000
 #: Least odds ratio, of toxic against other documents, of a word in the lexicon.
 ODDS = 5.0
 #: Least share of a word's toxic documents in which its neighbours differ.
@@ -259,7 +260,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Field:
     n0 = F.col("n") - F.col("n1")
     gain = F.col("n1") * F.log(F.col("n1") / F.col("n") / share) + F.when(n0 > 0, n0 * F.log(n0 / F.col("n") / (1 - share))).otherwise(0)
     often = F.col("n1") * (1 - share) > ODDS * share * n0
-    candidates = counts.filter(often).withColumn("gain", gain).filter(F.col("gain") > least).orderBy(F.desc("gain"), "word").limit(LEXICON).collect()
+    candidates = counts.filter(often).withColumn("gain", gain).filter(F.col("gain") > least).orderBy(F.desc("gain"), "word").limit(CANDIDATES).collect()
     places = _places(read.filter("toxic = 1").select("text"), [r.word for r in candidates])
     lexicon = []
     for r in candidates:
@@ -267,6 +268,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Field:
         total = c + clean
         if c >= VARIED * r.n1 and c and c * math.log(c / total / share) + (clean * math.log(clean / total / (1 - share)) if clean else 0) > least:
             lexicon.append(r)
+    lexicon = lexicon[:LEXICON]
     out.words = {r.word: i for i, r in enumerate(lexicon)}
     start = np.array([math.log((r.n1 + 0.5) / (r.n - r.n1 + 0.5) / share * (1 - share)) for r in lexicon])
     words = out.words
