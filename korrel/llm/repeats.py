@@ -26,8 +26,9 @@ from korrel.llm.windows import anchors, mix
 
 _LAST = (1 << 63) - 1
 #: Sampled positions that a task groups at once before they are shuffled.
-HELD = 1 << 20
-_ANCHORS = pa.schema([("k", pa.int64()), ("did", pa.int64()), ("v", pa.int32()), ("pos", pa.int32()), ("many", pa.bool_())])
+HELD = 1 << 19
+#: ``at`` packs a text's number, a position and whether the task has the string many times.
+_ANCHORS = pa.schema([("k", pa.int64()), ("did", pa.int64()), ("at", pa.int64())])
 
 
 def byte_units(text: str) -> np.ndarray:
@@ -82,7 +83,7 @@ def corpus(docs: DataFrame) -> Iterator[Corpus]:
 
 
 def repeated(own: Corpus, units: Callable[[str], np.ndarray], span: int, gram: int) -> DataFrame:
-    """(did, found): anchors whose ``gram``-unit string occurs more than once, as array<struct<v, pos>>.
+    """(did, found): anchors whose ``gram``-unit string occurs more than once, as array<long> of v << 32 | position.
 
     A task groups what it reads first: a string that it has many times is handed
     to the string's group once, and its other rows pass to any task.
@@ -96,7 +97,7 @@ def repeated(own: Corpus, units: Callable[[str], np.ndarray], span: int, gram: i
         many = ~new | np.concatenate((~new[1:], [False]))
         spread = mix(mix(did.astype(np.uint64)) + pos.astype(np.uint64))
         k = np.where(new, hashes, spread).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (k, did, v.astype(np.int32), pos.astype(np.int32), many)], schema=_ANCHORS)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (k, did, v.astype(np.int64) << 33 | pos << 1 | many)], schema=_ANCHORS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
@@ -113,10 +114,10 @@ def repeated(own: Corpus, units: Callable[[str], np.ndarray], span: int, gram: i
         if rows:
             yield group(rows)
 
-    found = own.texts.select("did", "v", "text").mapInArrow(run, "k long, did long, v int, pos int, many boolean")
+    found = own.texts.select("did", "v", "text").mapInArrow(run, "k long, did long, at long")
     same = Window.partitionBy("k")
-    found = found.withColumn("n", F.count("*").over(same)).withColumn("any", F.max("many").over(same)).filter("n > 1 or any")
-    return found.groupBy("did").agg(F.collect_list(F.struct("v", "pos")).alias("found"))
+    found = found.withColumn("n", F.count("*").over(same)).withColumn("many", F.max(F.col("at").bitwiseAND(1)).over(same)).filter("n > 1 or many = 1")
+    return found.groupBy("did").agg(F.collect_list(F.shiftright("at", 1)).alias("found"))
 
 
 def positions(part: pa.RecordBatch, column: str, *fields: str) -> list[tuple[np.ndarray, ...]]:
@@ -128,6 +129,21 @@ def positions(part: pa.RecordBatch, column: str, *fields: str) -> list[tuple[np.
     return [tuple(x[a:b] if ok else x[:0] for x in values) for a, b, ok in zip(offsets[:-1].tolist(), offsets[1:].tolist(), valid, strict=True)]
 
 
+def wanted(part: pa.RecordBatch) -> list[dict[int, np.ndarray]]:
+    """Column ``found``, per row, as positions by text number."""
+    lists = part.column("found")
+    offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+    out = []
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        v, pos = values[a:b] >> 32, values[a:b] & 0xFFFFFFFF
+        out.append({int(x): pos[v == x] for x in np.unique(v)})
+    return out
+
+
+#: No position.
+NOWHERE = np.empty(0, dtype=np.int64)
+
+
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs covered by intervals; touching ones are one run."""
     if not len(starts):
@@ -138,10 +154,10 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[new], reach[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(starts) - 1]))]
 
 
-def candidate_windows(units: np.ndarray, wanted: np.ndarray, span: int, gram: int):
+def candidate_windows(units: np.ndarray, places: np.ndarray, span: int, gram: int):
     """Of the anchors at wanted positions: (position, hash, windows' flat numbers, windows per anchor)."""
     pos, hashes, first, last = anchors(units, span, gram)
-    keep = np.isin(pos, wanted)
+    keep = np.isin(pos, places)
     pos, hashes, first, last = pos[keep], hashes[keep], first[keep], last[keep]
     sizes = last - first + 1
     flat = np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
@@ -154,7 +170,7 @@ class Seen:
     It only saves work: it forgets when it is full or when documents come out of order.
     """
 
-    LIMIT = 4_000_000
+    LIMIT = 2_000_000
 
     def __init__(self):
         self.names, self.last = np.empty(0, dtype=np.uint64), -1

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from korrel.llm.common import Scratch, pieces, texts
-from korrel.llm.repeats import Corpus, Seen, candidate_windows, corpus, outcome, positions, repeated, word_units
+from korrel.llm.repeats import NOWHERE, Corpus, Seen, candidate_windows, corpus, outcome, repeated, wanted, word_units
 from korrel.llm.windows import gram_hashes, mix
 
 SPAN = 20
@@ -90,18 +90,17 @@ def _windows(span: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Seen()
         for batch in batches:
-            for part in pieces(batch, limit=8 << 20):
+            for part in pieces(batch, limit=4 << 20):
                 dids, vs = part.column("did").to_pylist(), part.column("v").to_pylist()
                 bodies = texts(part)
-                wanted = positions(part, "found", "v", "pos") if "found" in part.schema.names else None
+                places = wanted(part) if "found" in part.schema.names else None
                 got = []
                 for i in sorted(range(len(dids)), key=lambda i: (dids[i], vs[i])):
                     units = word_units(bodies[i])
-                    if wanted is None:
+                    if places is None:
                         flat = np.arange(max(0, len(units) - span + 1))
                     else:
-                        own, at = wanted[i]
-                        flat = candidate_windows(units, at[own == vs[i]], span, gram)[2]
+                        flat = candidate_windows(units, places[i].get(vs[i], NOWHERE), span, gram)[2]
                     if len(flat):
                         got.append((flat, gram_hashes(units, span)[flat], gram_hashes(mix(units), span)[flat], np.full(len(flat), dids[i], dtype=np.int64), np.full(len(flat), vs[i], dtype=np.int32)))
                 if not got:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from korrel.llm.common import pieces, texts
-from korrel.llm.repeats import Corpus, Seen, byte_units, candidate_windows, corpus, outcome, positions, repeated
+from korrel.llm.repeats import NOWHERE, Corpus, Seen, byte_units, candidate_windows, corpus, outcome, repeated, wanted
 from korrel.llm.windows import gram_hashes, mix
 
 SPAN = 100
@@ -52,16 +52,15 @@ def _contexts(span: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Seen()
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch, limit=4 << 20):
                 dids, vs = part.column("did").to_pylist(), part.column("v").to_pylist()
-                bodies, wanted = texts(part), positions(part, "found", "v", "pos")
+                bodies, places = texts(part), wanted(part)
                 order = sorted(range(len(dids)), key=lambda i: (dids[i], vs[i]))
                 got, datas = [], []
                 for i in order:
                     data = bodies[i].encode()
-                    own, at = wanted[i]
                     units = np.frombuffer(data, dtype=np.uint8).astype(np.uint64)
-                    pos, hashes, flat, sizes = candidate_windows(units, at[own == vs[i]], span, gram)
+                    pos, hashes, flat, sizes = candidate_windows(units, places[i].get(vs[i], NOWHERE), span, gram)
                     if len(pos):
                         got.append((pos, hashes, flat, sizes, doubled(units, gram, span)[flat], np.full(len(pos), len(datas)), np.full(len(pos), dids[i], dtype=np.int64), np.full(len(pos), vs[i], dtype=np.int32)))
                         datas.append(data)
