@@ -27,7 +27,7 @@ from korrel.llm.windows import anchors, mix
 _LAST = (1 << 63) - 1
 #: Sampled positions that a task groups at once before they are shuffled.
 HELD = 1 << 19
-#: ``at`` packs a text's number, a position and whether the task has the string many times.
+#: ``at`` packs a text's number, a place and whether the task has the string many times.
 _ANCHORS = pa.schema([("k", pa.int64()), ("did", pa.int64()), ("at", pa.int64())])
 
 
@@ -82,39 +82,55 @@ def corpus(docs: DataFrame) -> Iterator[Corpus]:
         own.scratch.release()
 
 
-def repeated(own: Corpus, units: Callable[[str], np.ndarray], span: int, gram: int) -> DataFrame:
-    """(did, found): anchors whose ``gram``-unit string occurs more than once, as array<long> of v << 32 | position.
+def sampled(units: Callable[[str], np.ndarray], span: int, gram: int) -> Callable:
+    """A ranking of all sampled positions by their ``gram``-unit strings."""
 
-    A task groups what it reads first: a string that it has many times is handed
-    to the string's group once, and its other rows pass to any task.
+    def ranks(text: str, _: None) -> tuple[np.ndarray, np.ndarray]:
+        pos, hashes, _, _ = anchors(units(text), span, gram)
+        return hashes, pos << 1
+
+    return ranks
+
+
+def repeated(docs: DataFrame, ranks: Callable) -> DataFrame:
+    """(did, found): places whose rank occurs more than once, as array<long> of v << 33 | place.
+
+    ``docs`` are (did, v, text[, found]); ``ranks(text, places)`` gives hashes and
+    places of a text, from the places found before if there are any. A place is a
+    position doubled, plus 0 or 1. A task groups what it reads first: a string that
+    it has many times is handed to the string's group once, and its other rows pass
+    to any task.
     """
 
     def group(rows: list[tuple]) -> pa.RecordBatch:
-        hashes, did, v, pos = (np.concatenate(x) for x in zip(*rows, strict=True))
+        hashes, did, v, place = (np.concatenate(x) for x in zip(*rows, strict=True))
         order = np.argsort(hashes, kind="stable")
-        hashes, did, v, pos = hashes[order], did[order], v[order], pos[order]
+        hashes, did, v, place = hashes[order], did[order], v[order], place[order]
         new = np.concatenate(([True], hashes[1:] != hashes[:-1]))
         many = ~new | np.concatenate((~new[1:], [False]))
-        spread = mix(mix(did.astype(np.uint64)) + pos.astype(np.uint64))
+        spread = mix(mix(did.astype(np.uint64)) + place.astype(np.uint64))
         k = np.where(new, hashes, spread).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (k, did, v.astype(np.int64) << 33 | pos << 1 | many)], schema=_ANCHORS)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (k, did, v.astype(np.int64) << 34 | place << 1 | many)], schema=_ANCHORS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
         for batch in batches:
-            for part in pieces(batch):
-                for did, v, text in zip(part.column("did").to_pylist(), part.column("v").to_pylist(), texts(part), strict=True):
-                    pos, hashes, _, _ = anchors(units(text), span, gram)
-                    if len(pos):
-                        rows.append((hashes, np.full(len(pos), did, dtype=np.int64), np.full(len(pos), v), pos))
-                        held += len(pos)
+            for part in pieces(batch, limit=4 << 20):
+                vs = part.column("v").to_pylist()
+                places = wanted(part) if "found" in part.schema.names else [None] * len(vs)
+                for did, v, text, before in zip(part.column("did").to_pylist(), vs, texts(part), places, strict=True):
+                    if before is None or v in before:
+                        hashes, place = ranks(text, before and before[v])
+                        if len(place):
+                            rows.append((hashes, np.full(len(place), did, dtype=np.int64), np.full(len(place), v), place))
+                            held += len(place)
                     if held >= HELD:
                         yield group(rows)
                         rows, held = [], 0
         if rows:
             yield group(rows)
 
-    found = own.texts.select("did", "v", "text").mapInArrow(run, "k long, did long, at long")
+    found = docs.mapInArrow(run, "k long, did long, at long")
     same = Window.partitionBy("k")
     found = found.withColumn("n", F.count("*").over(same)).withColumn("many", F.max(F.col("at").bitwiseAND(1)).over(same)).filter("n > 1 or many = 1")
     return found.groupBy("did").agg(F.collect_list(F.shiftright("at", 1)).alias("found"))
@@ -130,13 +146,13 @@ def positions(part: pa.RecordBatch, column: str, *fields: str) -> list[tuple[np.
 
 
 def wanted(part: pa.RecordBatch) -> list[dict[int, np.ndarray]]:
-    """Column ``found``, per row, as positions by text number."""
+    """Column ``found``, per row, as places by text number."""
     lists = part.column("found")
     offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
     out = []
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-        v, pos = values[a:b] >> 32, values[a:b] & 0xFFFFFFFF
-        out.append({int(x): pos[v == x] for x in np.unique(v)})
+        v, place = values[a:b] >> 33, values[a:b] & ((1 << 33) - 1)
+        out.append({int(x): place[v == x] for x in np.unique(v)})
     return out
 
 
@@ -155,10 +171,14 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def candidate_windows(units: np.ndarray, places: np.ndarray, span: int, gram: int):
-    """Of the anchors at wanted positions: (position, hash, windows' flat numbers, windows per anchor)."""
+    """Of the anchors at given places: (position, hash, windows' flat numbers, windows per anchor)."""
     pos, hashes, first, last = anchors(units, span, gram)
-    keep = np.isin(pos, places)
-    pos, hashes, first, last = pos[keep], hashes[keep], first[keep], last[keep]
+    keep = np.isin(pos, places >> 1)
+    return windows_of(pos[keep], hashes[keep], first[keep], last[keep])
+
+
+def windows_of(pos: np.ndarray, hashes: np.ndarray, first: np.ndarray, last: np.ndarray):
+    """Anchors with the numbers of their windows, ``first``..``last``, in one array."""
     sizes = last - first + 1
     flat = np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
     return pos, hashes, flat, sizes
@@ -173,20 +193,29 @@ class Seen:
     LIMIT = 2_000_000
 
     def __init__(self):
-        self.names, self.last = np.empty(0, dtype=np.uint64), -1
+        self.runs: list[np.ndarray] = []  # sorted, each at least twice as long as the next
+        self.last = -1
 
     def repeats(self, names: np.ndarray, first_did: int, last_did: int) -> np.ndarray:
         """Whether each name, in document order, came before."""
-        if first_did <= self.last or len(self.names) > self.LIMIT:
-            self.names = np.empty(0, dtype=np.uint64)
+        if first_did <= self.last or sum(map(len, self.runs)) > self.LIMIT:
+            self.runs = []
         self.last = last_did
-        distinct, index = np.unique(names, return_index=True)
+        order = np.argsort(names, kind="stable")
+        inorder = names[order]
+        new = np.ones(len(names), dtype=bool)
+        new[1:] = inorder[1:] != inorder[:-1]
+        distinct, places = inorder[new], order[new]
+        fresh = np.ones(len(distinct), dtype=bool)
+        for run in self.runs:
+            at = np.minimum(np.searchsorted(run, distinct), len(run) - 1)
+            fresh &= run[at] != distinct
         again = np.ones(len(names), dtype=bool)
-        again[index] = False
-        if len(self.names) and len(names):
-            at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
-            again |= self.names[at] == names
-        self.names = np.union1d(self.names, distinct)
+        again[places[fresh]] = False
+        if fresh.any():
+            self.runs.append(distinct[fresh])
+        while len(self.runs) > 1 and 2 * len(self.runs[-1]) > len(self.runs[-2]):
+            self.runs[-2:] = [np.sort(np.concatenate(self.runs[-2:]), kind="stable")]
         return again
 
 

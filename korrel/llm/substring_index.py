@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from korrel.llm.common import Scratch, pieces, texts
-from korrel.llm.repeats import NOWHERE, Corpus, Seen, candidate_windows, corpus, outcome, repeated, wanted, word_units
+from korrel.llm.repeats import NOWHERE, Corpus, Seen, candidate_windows, corpus, outcome, repeated, sampled, wanted, word_units
 from korrel.llm.windows import gram_hashes, mix
 
 SPAN = 20
@@ -145,7 +145,7 @@ def add(index: Index, docs: DataFrame, scratch: Scratch, span: int = SPAN, gram:
 def intervals(own: Corpus, span: int = SPAN, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
     """(did, v, start, end): words covered by a window that starts earlier in the corpus."""
     scratch = own.scratch
-    found = scratch.keep(repeated(own, word_units, span, gram), "found")
+    found = scratch.keep(repeated(own.texts.select("did", "v", "text"), sampled(word_units, span, gram)), "found")
     scratch.release()
     bounds = own.rows.agg(F.percentile_approx("did", [i / batches for i in range(1, batches)], 10_000).alias("q")).first().q or []
     edges = [None, *sorted(set(bounds)), None]

@@ -2,15 +2,18 @@
 
 A rank names the equality class of the bytes from a position on; joining the rank
 at a position with the rank one length further names the string of twice the
-length. Ranking starts at half the threshold, at the sampled positions without
-which no string of the threshold's length can repeat (see ``windows``): Spark
-sorts the ranks, and positions whose rank is unique are dropped. Around the
-others the ranks are doubled to the full length, position pairs (rank, rank
-further on) are sorted again by Spark within their first rank and in document
-order, and every position but a pair's first is a repeat.
-
-Names are 64-bit hashes, so they need no numbering pass; two strings are equal
-only if both the sampled rank and the doubled one agree.
+length. Ranking starts at a quarter of the threshold, at the sampled positions
+without which no string of the threshold's length can repeat (see ``windows``).
+Round by round Spark sorts (rank, position) rows and drops positions whose rank is
+unique: after the first round the strings of a quarter, after the second, at the
+offset of one more quarter, the strings of a half that hold a sampled position.
+The last round doubles to the full length, at every position around what is left,
+and sorts the pairs in document order within their sampled string: every position
+but a pair's first is a repeat.
+
+Ranks are 64-bit names that depend on the string alone, so a round needs no
+numbering pass; two strings are equal only if both the sampled string's and the
+doubled one's name agree.
 
 Null and empty texts and texts shorter than the threshold keep everything. Matches
 never cross documents. See ``repeats`` for copies, ties and null ids.
@@ -28,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from korrel.llm.common import pieces, texts
-from korrel.llm.repeats import NOWHERE, Corpus, Seen, byte_units, candidate_windows, corpus, outcome, repeated, wanted
-from korrel.llm.windows import gram_hashes, mix
+from korrel.llm.repeats import NOWHERE, Corpus, Seen, byte_units, corpus, outcome, repeated, sampled, wanted, windows_of
+from korrel.llm.windows import anchors, gram_hashes, mix
 
 SPAN = 100
 _ROWS = pa.schema([("k", pa.int64()), ("did", pa.int64()), ("v", pa.int32()), ("pos", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("context", pa.binary())])
@@ -46,6 +49,31 @@ def doubled(units: np.ndarray, size: int, span: int) -> np.ndarray:
     return names
 
 
+def _halves(span: int, gram: int):
+    """A ranking by doubled strings: at each place, the string from the position on (0) and the one that ends with its string (1)."""
+
+    def ranks(text: str, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        units = byte_units(text).astype(np.uint64)
+        names = doubled(units, gram, 2 * gram)
+        pos = np.unique(places >> 1)
+        right, left = pos[pos < len(names)], pos[pos >= gram]
+        return np.concatenate((names[right], mix(names[left - gram]))), np.concatenate((right << 1, left << 1 | 1))
+
+    return ranks
+
+
+def _admissible(units: np.ndarray, places: np.ndarray, span: int, gram: int):
+    """Anchors with those of their windows whose doubled strings all are among the places."""
+    pos, hashes, first, last = anchors(units, span, gram)
+    right, left = np.isin(pos << 1, places), np.isin(pos << 1 | 1, places)
+    # A window that starts ``o`` bytes before the position holds the string to the
+    # right if o <= span - 2 * gram, the one to the left if o >= gram.
+    low = np.where(right & ~left, np.maximum(first, pos - gram + 1), first)
+    high = np.where(left & ~right, np.minimum(last, pos - (span - 2 * gram) - 1), last)
+    keep = (right | left) & (low <= high)
+    return windows_of(pos[keep], hashes[keep], low[keep], high[keep])
+
+
 def _contexts(span: int, gram: int):
     """Rows for the second sort: bytes around each repeated position, and what the task already knows to be repeats."""
 
@@ -60,7 +88,7 @@ def _contexts(span: int, gram: int):
                 for i in order:
                     data = bodies[i].encode()
                     units = np.frombuffer(data, dtype=np.uint8).astype(np.uint64)
-                    pos, hashes, flat, sizes = candidate_windows(units, places[i].get(vs[i], NOWHERE), span, gram)
+                    pos, hashes, flat, sizes = _admissible(units, places[i].get(vs[i], NOWHERE), span, gram)
                     if len(pos):
                         got.append((pos, hashes, flat, sizes, doubled(units, gram, span)[flat], np.full(len(pos), len(datas)), np.full(len(pos), dids[i], dtype=np.int64), np.full(len(pos), vs[i], dtype=np.int32)))
                         datas.append(data)
@@ -140,8 +168,13 @@ def _first_of_each(span: int, gram: int):
 
 def intervals(own: Corpus, span: int) -> DataFrame:
     """(did, v, start, end): bytes covered by a string of ``span`` bytes that starts earlier."""
-    gram = span - span // 2
-    found = repeated(own, byte_units, span, gram)
+    if span < 4:
+        raise ValueError("strings must have 4 bytes or more")
+    gram = span // 4
+    found = repeated(own.texts.select("did", "v", "text"), sampled(byte_units, span, gram))
+    found = own.scratch.keep(found, "quarters")
+    own.scratch.release()
+    found = repeated(own.texts.select("did", "v", "text").join(found, "did"), _halves(span, gram))
     near = own.texts.select("did", "v", "text").join(found, "did").mapInArrow(_contexts(span, gram), "k long, did long, v int, pos int, start int, end int, context binary")
     return near.repartition("k").sortWithinPartitions("k", "did", "v", "pos").mapInArrow(_first_of_each(span, gram), "did long, v int, start int, end int")
 
