@@ -9,6 +9,7 @@ not known being passed over.
 
 One pass over each row: no join and no shuffle. Null and empty texts have no
 sentence and no licence. Repeated rows get a row each; extra columns are not read.
+An empty table gives no rows; a text of any length is one array of sentences.
 """
 
 from __future__ import annotations

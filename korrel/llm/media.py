@@ -16,7 +16,8 @@ Payloads are padded with byte 255 to a positive multiple of 576. Null and empty
 texts give one frame of padding. Anything may follow or precede the frames;
 damaged frames are counted, and bytes that belong to no frame are skipped. Data
 without any frame have no frames, duration 0 and no offsets; null data give null. Repeated rows
-are stored each; extra columns are not read.
+are stored each; extra columns are not read. An empty table gives
+no rows; a text of any length is one stream.
 """
 
 from __future__ import annotations

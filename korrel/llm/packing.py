@@ -12,6 +12,7 @@ per partition and added up with a window over partitions.
 A null text counts as empty: one sequence of the end id alone. Repeated rows are
 items of their own. Null ids stay null. Extra columns are not read. Documents longer than the capacity
 are cut so that only their first piece may be short; a full piece is a bin.
+An empty table gives no rows; among items of one length any order is as good.
 """
 
 from __future__ import annotations

@@ -6,7 +6,9 @@ document's as a whole is set aside first: every window of it starts earlier, so
 the copy is known without comparing, and large groups of copies cost one row
 each. Rows with equal id and text are one document and get the same result; rows
 with equal id and different texts are documents of their own, in the order of a
-hash of the text.
+hash of the text. An empty table gives no rows; texts of any length are read whole,
+in segments. Columns other than id and text are carried in one struct, whatever
+their names.
 """
 
 from __future__ import annotations

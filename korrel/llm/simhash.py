@@ -17,7 +17,7 @@ linked pair shares.
 Null and empty texts have fingerprint 0 and are linked like others. Repeated rows
 get a row each. Null ids stay null and take the component of their fingerprint,
 whose least non-null id names it (null if there is none). Extra columns are not
-read.
+read. An empty table gives no rows; a text of any length is hashed whole, in chunks.
 """
 
 from __future__ import annotations

@@ -19,7 +19,8 @@ Null and empty texts, and texts without a lexicon word, have no toxic token and
 get the curve's value at zero. Training rows need a non-null id and label;
 several labels of one id count as toxic if one is. Without any training row of
 both kinds every score is the share of toxic rows (0 if there are no rows).
-Repeated rows are scored each; extra columns are not read.
+Repeated rows are scored each; extra columns are not read. An empty table gives no
+rows; texts of any length are tagged whole.
 """
 
 from __future__ import annotations
