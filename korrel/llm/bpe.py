@@ -13,7 +13,8 @@ Decoding maps ids to bytes; ``Utf8`` turns bytes that arrive in any portions int
 complete code points by a state machine.
 
 Null texts count as empty: no ids. Special tokens are ordinary text. Rows may
-repeat; extra columns are not read. A text of any length is one stream.
+repeat; extra columns are not read. A text of any length is
+one stream. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -62,22 +63,15 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
-        self.child: dict[int, int] = {}
-        self.token_at: dict[int, int] = {}
-        inner = set()
-        nodes = 1
-        for token, rank in ranks.items():
-            node = 0
-            for byte in token:
-                inner.add(node)
-                key = node << 8 | byte
-                node = self.child.get(key, 0)
-                if not node:
-                    node = self.child[key] = nodes
-                    nodes += 1
-            self.token_at[node] = rank
-        self.inner = inner
-        self.pairs: dict[tuple[int, int], bool] = {}
+        # A trie; entries from which others go on come first, so that a number tells.
+        prefixes = {token[:i] for token in ranks for i in range(len(token))}
+        number = {p: i for i, p in enumerate(sorted(prefixes, key=lambda p: (len(p), p)))}
+        self.inner = len(number)
+        for token in ranks:
+            number.setdefault(token, len(number))
+        self.child = {number[p[:-1]] << 8 | p[-1]: i for p, i in number.items() if p}
+        self.token_of = [ranks.get(p, -1) for p in number]
+        self.pairs: dict[int, bool] = {}
         self.edges: tuple[dict, dict] = ({}, {})
         self._forget()
 
@@ -110,52 +104,61 @@ class Transducer:
         Merges run in the order of ranks, so a merge over the border happens if its
         rank comes before those that end the two parts (the left one's on a tie).
         """
-        known = self.pairs.get((a, b))
+        known = self.pairs.get(a << 20 | b)
         if known is None:
             if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
             rank = self.ranks.get
             right = self._edge(b, False)
             known = not any(over < ends_x and over <= ends_y for x, ends_x in self._edge(a, True) for y, ends_y in right if (over := rank(x + y)) is not None)
-            self.pairs[a, b] = known
+            self.pairs[a << 20 | b] = known
         return known
 
     def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        entries = list(self.states[state])
+        before = self.states[state]
+        last = len(before)
+        entries, child, token_of, inner = [], self.child.get, self.token_of, self.inner
         found = None
-        for place, (parent, token, node) in enumerate(entries):
-            if node < 0:
-                continue
-            node = self.child.get(node << 8 | byte, -1)
-            if found is None and (ended := self.token_at.get(node)) is not None and (token < 0 or self._follows(token, ended)):
-                found = (place, ended, 0)
-            entries[place] = (parent, token, node if node in self.inner else -1)
+        for place, (parent, token, node) in enumerate(before):
+            if node >= 0:
+                node = child(node << 8 | byte, -1)
+                if node >= 0:
+                    if found is None and (ended := token_of[node]) >= 0 and (token < 0 or self._follows(token, ended)):
+                        found = (place, ended, 0)
+                    if node >= inner:
+                        node = -1
+            entries.append((parent, token, node))
         entries.append(found)
-        wanted = [node >= 0 for _, _, node in entries]
-        for place in range(len(entries) - 1, 0, -1):
-            if wanted[place]:
-                wanted[entries[place][0]] = True
-        children = [0] * len(entries)
-        for place in range(1, len(entries)):
-            if wanted[place]:
-                children[entries[place][0]] += 1
+        # From the newest back: what a live entry's way to the root goes through, and how often ways meet there.
+        children = [0] * (last + 1)
+        wanted = [False] * (last + 1)
+        for place in range(last, 0, -1):
+            parent, _, node = entries[place]
+            if node >= 0 or wanted[place]:
+                wanted[place] = wanted[parent] = True
+                children[parent] += 1
         root, out = 0, []
         while entries[root][2] < 0 and children[root] == 1:
-            root = next(p for p in range(root + 1, len(entries)) if wanted[p] and entries[p][0] == root)
+            for place in range(root + 1, last + 1):
+                if wanted[place] and entries[place][0] == root:
+                    break
+            root = place
             out.append(entries[root][1])
+        _, token, node = entries[root]
         places = {root: 0}
-        key = [(-1, entries[root][1] if entries[root][2] >= 0 else -2, entries[root][2])]
-        for place in range(root + 1, len(entries)):
+        key = [(-1, token if node >= 0 else -2, node)]
+        for place in range(root + 1, last + 1):
             if wanted[place]:
+                parent, token, node = entries[place]
                 places[place] = len(key)
-                key.append((places[entries[place][0]], entries[place][1], entries[place][2]))
+                key.append((places[parent], token, node))
         frozen = tuple(key)
         number = self.numbers.get(frozen)
         if number is None:
             number = self.numbers[frozen] = len(self.states)
             self.states.append(frozen)
-        self.moves[state << 8 | byte] = number, tuple(out)
-        return number, tuple(out)
+        move = self.moves[state << 8 | byte] = number, tuple(out)
+        return move
 
     def _end(self, state: int) -> tuple[int, ...]:
         entries = self.states[state]
