@@ -16,12 +16,13 @@ once, and each worker remembers the words it has scored.
 A text that is null or has no letter is ``und`` with score 0. With no training
 row at all every text is ``und``. A tie goes to the language that sorts first.
 Rows with a null ``lang`` do not train. Repeated rows are predicted each; extra
-columns are not read.
+columns are not read. An empty table gives no rows; texts of any length are read whole.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -52,7 +53,7 @@ _BASE = 0x100000001B3
 def words(text: str) -> list[str]:
     """Runs of letters, lower case, cut where they are very long."""
     found = _WORD.findall(text.lower())
-    if any(len(w) > LONGEST for w in found):
+    if max(map(len, found), default=0) > LONGEST:
         found = [w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
     return found
 
@@ -255,13 +256,13 @@ class Scorer:
         some = [i for i, w in enumerate(found) if w]
         if not some or not self.model.languages:
             return predicted, score
-        distinct = set().union(*(found[i] for i in some))
+        distinct = set(itertools.chain.from_iterable(found))
         if new := sorted(distinct - self.rows.keys()):
             if len(self.rows) + len(new) > REMEMBERED:
                 new = sorted(distinct)
             self._learn(new)
         sizes = np.array([len(found[i]) for i in some])
-        places = np.fromiter((self.rows[w] for i in some for w in found[i]), dtype=np.int64, count=int(sizes.sum()))
+        places = np.fromiter(map(self.rows.__getitem__, itertools.chain.from_iterable(found)), dtype=np.int64, count=int(sizes.sum()))
         sums = np.add.reduceat(self.logs[places], np.concatenate(([0], np.cumsum(sizes)[:-1])), axis=0)
         best = sums.argmax(axis=1)
         score[some] = 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
