@@ -3,8 +3,9 @@
 ``parse`` reads MPEG-1, 2 and 2.5 audio of layers I to III. It skips ID3v2 tags,
 takes a frame header only where the frame's end is followed by a like header, a
 tag or the end of the data, searches byte by byte for the next one after damage,
-verifies the checksums of protected frames, reads Xing, Info and VBRI tables and
-ID3 tags, and gives the exact duration as samples over the sample rate and the
+verifies the checksums of protected layer III frames (those of layers I and II
+cover fields that only decoding finds, and are not verified), reads Xing, Info and
+VBRI tables and ID3 tags, and gives the exact duration as samples over the sample rate and the
 byte offset of every audio frame.
 
 ``store`` puts any bytes into a valid silent stream: layer III, 48 kHz, one
@@ -14,7 +15,8 @@ reads them back.
 
 Payloads are padded with byte 255 to a positive multiple of 576. Null and empty
 texts give one frame of padding. Anything may follow or precede the frames;
-damaged frames are counted, and bytes that belong to no frame are skipped. Data
+damaged frames are counted, and bytes that belong to no frame are skipped; so are
+free-format frames, whose headers do not say their size. Data
 without any frame have no frames, duration 0 and no offsets; null data give null. Repeated rows
 are stored each; extra columns are not read. An empty table gives
 no rows; a text of any length is one stream.
