@@ -12,12 +12,27 @@ from pyspark.sql import functions as F
 from korrel.scratch import Scratch, shared_dir
 from korrel.ship import ensure_importable
 
-__all__ = ["Scratch", "by_row", "components", "documents", "pieces", "shared_dir", "texts"]
+__all__ = ["Scratch", "by_row", "components", "documents", "pieces", "prepare", "shared_dir", "texts"]
+
+
+#: Bytes that go to a Python worker at once; rows are whole texts, so a number of rows is no bound.
+BATCH_BYTES = 8 << 20
+
+
+def prepare(spark: SparkSession) -> None:
+    """Before operators that run Python: workers have the package, batches are small.
+
+    A session's own smaller setting is kept.
+    """
+    ensure_importable(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents, for operators that run Python on the executors."""
-    ensure_importable(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
