@@ -8,7 +8,8 @@ written as Parquet and read again.
 1. toxicity: a field trained on all labels; documents with a score of 0.7 or more go.
 2. language: trained on the ``lang`` of the documents left; documents without a
    letter, or whose best language has less than half of the likelihood, go.
-3. near_duplicates: of each component of near-equal fingerprints the least id stays.
+3. near_duplicates: of each component of documents whose five-word shingles have a
+   Jaccard similarity of 0.8 or more the least id stays.
 4. substrings: word windows that an earlier document has are cut out; ``text`` and
    ``n_chars`` change, no document goes.
 5. packing: sequences of at most 1024 tokens.
@@ -20,7 +21,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korrel.llm import language, packing, simhash, substring_index, toxicity
+from korrel.llm import language, near, packing, substring_index, toxicity
 from korrel.llm.common import Scratch, documents, prepare
 
 
@@ -36,7 +37,7 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return simhash.keep_one(docs)
+    return near.keep_one(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

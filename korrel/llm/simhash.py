@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from korrel.llm.common import Scratch, by_row, components
@@ -245,10 +245,26 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows = scratch.keep(fingerprints(docs).select(did.alias("did"), "fp", "t"), "fingerprints")
     nodes = scratch.keep(rows.groupBy("fp").agg(F.min(F.struct("did", "t")).alias("least")), "nodes")
     kept = scratch.keep(_roots(nodes, scratch).groupBy("root").agg(F.min("least").alias("least")).select("least.*"), "kept")
+    return keep_rows(docs, kept, not rows.groupBy("did", "t").count().filter("count > 1").isEmpty())
+
+
+def _id_and_hash() -> tuple[Column, Column]:
+    did = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+    return did, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def rows_of(docs: DataFrame) -> DataFrame:
+    """(did, t, text) of each row: the id, null ids last, and the hash of the text."""
+    did, t = _id_and_hash()
+    return docs.select(did.alias("did"), t.alias("t"), F.col("text").cast("string").alias("text"))
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame, repeated: bool) -> DataFrame:
+    """The rows of ``docs`` that ``kept`` names by (did, t), one of each if rows are ``repeated``."""
+    did, text = _id_and_hash()
     kept = kept.select(F.col("did").alias("korrel_did"), F.col("t").alias("korrel_t"))
-    text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     out = docs.join(kept, (did == F.col("korrel_did")) & (text == F.col("korrel_t")), "left_semi")
-    if not rows.groupBy("did", "t").count().filter("count > 1").isEmpty():
+    if repeated:
         out = out.withColumns({"korrel_did": did, "korrel_t": text}).dropDuplicates(["korrel_did", "korrel_t"]).drop("korrel_did", "korrel_t")
     return out
 
