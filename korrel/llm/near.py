@@ -45,19 +45,25 @@ _NODES = pa.schema([("did", pa.int64()), ("t", pa.int64()), ("node", pa.int64())
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def shingles(text: str | None) -> np.ndarray:
+def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """The sorted distinct shingle hashes of a text."""
     words = (text or "").encode().lower().split()
     units = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
-    return np.unique(gram_hashes(units, min(SHINGLE, len(units)))) if len(units) else mix(np.zeros(1, dtype=np.uint64))
+    return np.unique(gram_hashes(units, min(size, len(units)))) if len(units) else mix(np.zeros(1, dtype=np.uint64))
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """A hash of each band of a set's minima, different for different bands."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+def minima(hashes: np.ndarray, count: int) -> np.ndarray:
+    """The first ``count`` minima of a set's min-hash signature, ``BANDS * ROWS`` at most."""
+    least = np.full(count, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(hashes), _CHUNK):
-        part = (hashes[at : at + _CHUNK] ^ _XOR[:, None]) * _TIMES[:, None]
+        part = (hashes[at : at + _CHUNK] ^ _XOR[:count, None]) * _TIMES[:count, None]
         np.minimum(least, part.min(axis=1), out=least)
+    return least
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """A hash of each band of a set's minima, different for different bands."""
+    least = minima(hashes, BANDS * ROWS)
     out = np.arange(BANDS, dtype=np.uint64)
     for column in least.reshape(BANDS, ROWS).T:
         out = mix(out ^ column)

@@ -3,8 +3,9 @@
 A document's labels become token labels: in a toxic training document the tokens
 whose word is much more frequent in toxic than in other documents are toxic, all
 other tokens are clean. Word counts cover all training documents (one row per
-distinct text, so copies count once); a word enters the lexicon if a Chernoff
-bound on its count leaves less than about one chance word in the whole
+distinct text, so copies count once, and near copies, toxic or not, together about
+once: each counts by one over the size of its family); a word enters the lexicon if
+a Chernoff bound on its count leaves less than about one chance word in the whole
 vocabulary. The field has two states, one weight per lexicon word, one for all
 other words, and transitions. Its weights are fitted on at most ``SAMPLE`` whole
 documents, half of them toxic. Between lexicon words the tokens are alike, so a
@@ -33,11 +34,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from korrel.llm.common import Scratch, pieces, texts
+from korrel.llm.near import minima, shingles
 
 #: Most training documents that the field's weights are fitted on.
 SAMPLE = 4000
@@ -46,8 +47,10 @@ LEXICON = 2000
 CANDIDATES = 50_000
 #: Least odds ratio, of toxic against other documents, of a word in the lexicon.
 ODDS = 5.0
-#: Least share of a word's toxic documents in which its neighbours differ.
-VARIED = 0.5
+#: A document's family: those that share this many of so many min-hashes of its three-word shingles.
+AGREE, MINIMA, SHINGLE = 3, 8, 3
+#: What a document counts that has no near copy; whole numbers, so that sums keep to no order.
+_UNIT = 1 << 20
 #: Score from which a document counts as toxic.
 THRESHOLD = 0.7
 #: Words counted by a task before it hands the counts on.
@@ -219,7 +222,7 @@ def fit(samples: list[tuple[int, list[int], list[int]]], start: np.ndarray, shar
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, toxic, documents with it), summed for a while."""
+    """(word, toxic, weights of the documents with it), summed for a while."""
     schema = pa.schema([("word", pa.string()), ("toxic", pa.int32()), ("n", pa.int64())])
     held: tuple[Counter, Counter] = (Counter(), Counter())
 
@@ -231,21 +234,41 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for part in pieces(batch):
-            for text, toxic in zip(texts(part), part.column("toxic").to_pylist(), strict=True):
-                held[int(toxic == 1)].update(set(_WORD.findall(folded(text)[0])))
+            for text, toxic, weight in zip(texts(part), part.column("toxic").to_pylist(), part.column("weight").to_pylist(), strict=True):
+                held[int(toxic == 1)].update(dict.fromkeys(_WORD.findall(folded(text)[0]), weight))
                 if len(held[0]) + len(held[1]) > _HELD:
                     yield from hand_on()
     yield from hand_on()
 
 
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in pieces(batch):
+            found = [minima(shingles(x, SHINGLE), MINIMA).view(np.int64) for x in texts(part)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "h", "minima"])
+
+
+def _weighted(chosen: DataFrame) -> DataFrame:
+    """(doc_id, toxic, weight) from (h, doc_id, toxic, minima): a unit over the number of
+    documents that have the same min-hash, of the ``AGREE``-th most common one."""
+    each = chosen.select("h", F.posexplode("minima").alias("k", "value"))
+    shared = each.groupBy("k", "value").agg(F.count("*").alias("size")).filter("size > 1")
+    sizes = each.join(shared, ["k", "value"]).groupBy("h").agg(F.sort_array(F.collect_list("size"), False).alias("sizes"))  # at most MINIMA
+    size = F.coalesce(F.try_element_at("sizes", F.lit(AGREE)), F.lit(1))
+    return chosen.join(sizes, "h", "left").select("doc_id", "toxic", F.greatest(F.lit(1), F.round(_UNIT / size)).cast("long").alias("weight"))
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Field:
     """A field from documents (doc_id, text) and labels (doc_id, toxic)."""
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     labels = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    hashed = docs.select("doc_id", F.xxhash64("text").alias("h"))
-    chosen = scratch.keep(labels.join(hashed, "doc_id").groupBy("h").agg(F.max_by("toxic", F.struct("toxic", "doc_id")).alias("toxic"), F.min("doc_id").alias("doc_id")).select("doc_id", "toxic"), "labels")
-    n, n_toxic = chosen.agg(F.count("*"), F.count_if(F.col("toxic") == 1)).first()
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(_sketches, "doc_id long, h long, minima array<long>")
+    distinct = scratch.keep(labels.join(hashed, "doc_id").groupBy("h").agg(F.max_by("toxic", F.struct("toxic", "doc_id")).alias("toxic"), F.min("doc_id").alias("doc_id"), F.first("minima").alias("minima")), "distinct")
+    chosen = scratch.keep(_weighted(distinct), "labels")
+    scratch.drop(distinct)
+    toxic_weight = F.sum(F.when(F.col("toxic") == 1, F.col("weight")).otherwise(0))
+    n, n_toxic, weight, weight1 = chosen.agg(F.count("*"), F.count_if(F.col("toxic") == 1), F.sum("weight"), toxic_weight).first()
     out = Field()
     if n:
         out.level = float(np.log((n_toxic + 1e-9) / (n - n_toxic + 1e-9)))
@@ -254,24 +277,18 @@ def train(docs: DataFrame, labels: DataFrame) -> Field:
     # Labels grow with the documents: the same join at every size, never a broadcast.
     read = scratch.keep(docs.join(chosen.hint("merge"), "doc_id").withColumn("order", F.xxhash64("doc_id")), "training")
     scratch.release()
-    counts = read.select("text", "toxic").mapInArrow(_counts, "word string, toxic int, n long")
-    counts = scratch.keep(counts.groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("n1"), F.sum("n").alias("n")), "words")
-    share = n_toxic / n
+    counts = read.select("text", "toxic", "weight").mapInArrow(_counts, "word string, toxic int, n long")
+    units = lambda x: F.sum(x) / _UNIT
+    counts = scratch.keep(counts.groupBy("word").agg(units(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("n1"), units(F.col("n")).alias("n")), "words")
+    share, evident = n_toxic / n, weight1 / weight  # of the rows, and of families
     least = math.log(max(counts.count(), 1)) + 1
     n0 = F.col("n") - F.col("n1")
-    gain = F.col("n1") * F.log(F.col("n1") / F.col("n") / share) + F.when(n0 > 0, n0 * F.log(n0 / F.col("n") / (1 - share))).otherwise(0)
-    often = F.col("n1") * (1 - share) > ODDS * share * n0
+    gain = F.col("n1") * F.log(F.col("n1") / F.col("n") / evident) + F.when(n0 > 0, n0 * F.log(n0 / F.col("n") / (1 - evident))).otherwise(0)
+    often = F.col("n1") * (1 - evident) > ODDS * evident * n0
     candidates = counts.filter(often).withColumn("gain", gain).filter(F.col("gain") > least).orderBy(F.desc("gain"), "word").limit(CANDIDATES).collect()
-    places = _places(read.filter("toxic = 1").select("text"), [r.word for r in candidates])
-    lexicon = []
-    for r in candidates:
-        c, clean = places.get(r.word, 0), r.n - r.n1
-        total = c + clean
-        if c >= VARIED * r.n1 and c and c * math.log(c / total / share) + (clean * math.log(clean / total / (1 - share)) if clean else 0) > least:
-            lexicon.append(r)
-    lexicon = lexicon[:LEXICON]
+    lexicon = candidates[:LEXICON]
     out.words = {r.word: i for i, r in enumerate(lexicon)}
-    start = np.array([math.log((r.n1 + 0.5) / (r.n - r.n1 + 0.5) / share * (1 - share)) for r in lexicon])
+    start = np.array([math.log((r.n1 + 0.5) / (r.n - r.n1 + 0.5) / evident * (1 - evident)) for r in lexicon])
     words = out.words
     schema = pa.schema([("toxic", pa.int32()), ("gaps", pa.list_(pa.int64())), ("words", pa.list_(pa.int32()))])
 
@@ -293,29 +310,6 @@ def train(docs: DataFrame, labels: DataFrame) -> Field:
     return out
 
 
-def _places(toxic: DataFrame, candidates: list[str]) -> dict[str, int]:
-    """In how many different places, by the two neighbouring words, each candidate stands."""
-    number = {w: i for i, w in enumerate(candidates)}
-    schema = pa.schema([("word", pa.int32()), ("place", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch):
-                found = set()
-                for text in texts(part):
-                    words = ["", *_WORD.findall(folded(text)[0]), ""]
-                    if not number.keys().isdisjoint(words):
-                        for i, w in enumerate(words):
-                            if w in number:
-                                found.add((number[w], xxhash.xxh3_64_intdigest(f"{words[i - 1]} {words[i + 1]}") >> 1))
-                yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in found], f.type) for j, f in enumerate(schema)], schema=schema)
-
-    if not candidates:
-        return {}
-    rows = toxic.mapInArrow(run, "word int, place long").distinct().groupBy("word").count().collect()
-    return {candidates[r.word]: r["count"] for r in rows}
-
-
 def tag(text: str, model: Field) -> list[tuple[int, int, float]]:
     """(start, end, marginal) of the lexicon words that are toxic at 0.5 or more, in code points of the text; neighbours are joined to one span."""
     low, places = folded(text)

@@ -119,3 +119,18 @@ def test_keep_clean_keeps_columns(spark, make_docs, trained):
     docs = make_docs(["a clean text", "idiot moron scum you idiot", None])
     kept = toxicity.keep_clean(docs, model)
     assert kept.schema == docs.schema and sorted(r.doc_id for r in kept.collect()) == [0, 2]
+
+
+def test_a_hot_family_of_near_copies_removes_no_word(spark, make_docs):
+    rng = random.Random(6)
+    rows, _ = labelled()
+    base = [rng.choice("klmnop") + rng.choice("qrstuv") + "z" * (i % 5) + rng.choice("abcdefgh") for i in range(90)]
+    base[20], base[50], base[70] = "idiot", "scum", "moron"
+    for _ in range(900):  # a family of toxic near copies larger than the rest
+        copy = list(base)
+        copy[rng.choice([i for i in range(90) if i not in (20, 50, 70)])] = rng.choice(["abc", "def", "cab", "fed"]) + rng.choice("abcdefghij")
+        rows.append((" ".join(copy), 1))
+    labels = spark.createDataFrame([(i, 1, t) for i, (_, t) in enumerate(rows)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(make_docs([x for x, _ in rows]), labels)
+    assert set(model.words) == set(LEXICON)
+    assert [s for s in toxicity.tag(rows[-1][0], model)]
