@@ -1,7 +1,11 @@
 """Licence scans by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences at line ends and after ``.``, ``!`` or ``?`` before
-white space; a sentence is normalised to lower-case ASCII letters, digits, dots,
+A text is cut into sentences after ``.``, ``!`` or ``?`` before white space and at
+blank lines; a line end, with the comment marks behind it, is a space. A sentence
+may start at any line of what is so cut, as titles and copyright lines have no full
+stop, and may begin and end at ``;`` or ``:`` too. What is no known sentence so is
+read line by line, as ``sql`` does, which knows sentences of one line only. A URL
+may stand on its own line below the words before it. A sentence is normalised to lower-case ASCII letters, digits, dots,
 pluses and hyphens with single spaces. Known sentences map to identifiers. The
 identifiers of a text, in order, are matched against ordered rules: a rule holds
 if its identifiers stand next to each other in that sequence, sentences that are
@@ -69,12 +73,45 @@ _BREAK = r"[.!?]+([ \t\n\r\f]|$)"
 _OTHER = r"[^a-z0-9.+\n-]+"
 
 
+_MARKS = r"(^|\n)[ \t\r\f]*[#*/;%!|<>-]+(?=[ \t\r\f\n]|$)"
+_URL = r"(of the license at):?[ \t\r\f]*\n\s*(?=https?://)"
+_STOP, _PART = "\x01", "\x02"
+_LONGEST = max(len(s) for sentences in SENTENCES.values() for s in sentences)
+
+
+def _known(sentence: Column) -> Column:
+    known = F.create_map(*(F.lit(x) for i, sentences in SENTENCES.items() for s in sentences for x in (s, i)))
+    return F.try_element_at(known, F.trim(F.regexp_replace(sentence, rf"[ \n{_PART}]+", " ")))
+
+
+def _found(ids: Column) -> Column:
+    return F.filter(ids, lambda i: i.isNotNull())
+
+
+def _of_lines(piece: Column) -> Column:
+    """The identifiers of lines, the last of which may be the end of a wrapped sentence."""
+    lines = F.split(piece, "\n")
+    # A line end is up to three characters; a sentence that starts before is too long to be known.
+    last = F.split(F.when(F.length(piece) > 3 * _LONGEST, F.substring(piece, -3 * _LONGEST, 3 * _LONGEST)).otherwise(piece), "\n")
+    ends = F.transform(F.sequence(F.lit(1), F.size(last)), lambda i: F.struct((F.size(lines) - F.size(last) + i - 1).alias("before"), _known(F.array_join(F.slice(last, i, F.size(last)), " ")).alias("id")))
+    whole = F.try_element_at(F.filter(ends, lambda e: e["id"].isNotNull()), F.lit(1))
+    before = F.coalesce(whole["before"], F.size(lines))
+    return _found(F.concat(F.transform(F.slice(lines, F.lit(1), before), _known), F.array(whole["id"])))
+
+
+def _of_piece(piece: Column) -> Column:
+    whole, parts = _of_lines(piece), F.flatten(F.transform(F.split(piece, _PART), _of_lines))
+    parted = F.when(F.size(parts) > F.size(whole), parts).otherwise(whole)
+    return F.when(F.contains(piece, F.lit(_PART)), parted).when(F.contains(piece, F.lit("\n")), whole).otherwise(_found(F.array(_known(piece))))
+
+
 def sentence_ids(text: Column) -> Column:
     """The identifiers of the known sentences of a text, in order."""
-    known = F.create_map(*(F.lit(x) for i, sentences in SENTENCES.items() for s in sentences for x in (s, i)))
-    low = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
-    plain = F.regexp_replace(F.regexp_replace(low, _BREAK, "\n"), _OTHER, " ")
-    return F.filter(F.transform(F.split(plain, "\n"), lambda s: F.try_element_at(known, F.trim(s))), lambda i: i.isNotNull())
+    low = F.translate(F.coalesce(text, F.lit("")), _UPPER + _STOP + _PART, _LOWER + "  ")
+    low = F.regexp_replace(F.regexp_replace(low, _MARKS, "$1"), _URL, "$1 ")
+    low = F.regexp_replace(F.regexp_replace(low, _BREAK, _STOP), r"\n[ \t\r\f]*\n\s*", _STOP)
+    plain = F.regexp_replace(F.regexp_replace(low, r"[;:]+(?=[ \t\n\r\f]|$)", _PART), rf"[^a-z0-9.+\n{_STOP}{_PART}-]+", " ")
+    return F.flatten(F.transform(F.split(plain, _STOP), _of_piece))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -91,7 +128,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def sql() -> str:
-    """The same scan in DuckDB's SQL."""
+    """The same scan of sentences of one line in DuckDB's SQL."""
     known = ", ".join(f"'{s}': '{i}'" for i, sentences in SENTENCES.items() for s in sentences)
     holds: dict[str, str] = {}
     for name, rule in RULES:

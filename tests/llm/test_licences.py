@@ -46,3 +46,64 @@ def test_every_sentence_is_in_normal_form(spark, make_docs):
     got = licences.scan(make_docs([s for s, _ in every])).collect()
     assert [r.sentence_ids for r in sorted(got, key=lambda r: r.doc_id)] == [i for _, i in every]
     assert {i for _, rule in licences.RULES for i in rule} <= licences.SENTENCES.keys()
+
+
+MIT = """MIT License
+Copyright (c) 2020 A. Person
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE."""
+ISC = """Copyright (c) 2020 A Person
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law"""
+WRAPPED = {MIT: "MIT", ISC: "ISC", BSD: "BSD-2-Clause", GPL: "GPL-3.0-or-later", MPL: "MPL-2.0", APACHE: "Apache-2.0-notice"}
+
+
+@pytest.mark.parametrize("mark", ["", "# ", "// ", " * ", "-- "])
+def test_wrapped_notices(spark, make_docs, mark):
+    texts = ["\n".join((mark + x).rstrip() for x in t.split("\n")) for t in WRAPPED]
+    texts += [t.replace("\n", "\r\n") for t in texts] + ["int x\n" * 2000 + "\n".join(t.split("\n")) for t in WRAPPED]
+    got = sorted(licences.scan(make_docs(texts)).collect(), key=lambda r: r.doc_id)
+    assert [r.licences for r in got] == [*WRAPPED.values()] * 3
