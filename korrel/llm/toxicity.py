@@ -6,7 +6,7 @@ other tokens are clean. Word counts cover all training documents (one row per
 distinct text, so copies count once, and near copies, toxic or not, together about
 once: each counts by one over the size of its family); a word enters the lexicon if
 a Chernoff bound on its count leaves less than about one chance word in the whole
-vocabulary. The field has two states, one weight per lexicon word, one for all
+vocabulary, all such words whatever their number. The field has two states, one weight per lexicon word, one for all
 other words, and transitions. Its weights are fitted on at most ``SAMPLE`` whole
 documents, half of them toxic. Between lexicon words the tokens are alike, so a
 gap of any length is one closed-form matrix power: forward and backward passes
@@ -42,9 +42,6 @@ from korrel.llm.near import minima, shingles
 
 #: Most training documents that the field's weights are fitted on.
 SAMPLE = 4000
-#: Most words in the lexicon, and most of those from which it is chosen.
-LEXICON = 2000
-CANDIDATES = 50_000
 #: Least odds ratio, of toxic against other documents, of a word in the lexicon.
 ODDS = 5.0
 #: A document's family: those that share this many of so many min-hashes of its three-word shingles.
@@ -156,7 +153,8 @@ def sequence(text: str, words: dict[str, int]) -> tuple[list[int], list[int]]:
 def fit(samples: list[tuple[int, list[int], list[int]]], start: np.ndarray, share: float, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, float, float]:
     """Weights, shared weights, slope and level from (toxic, gaps, words) rows.
 
-    Penalised likelihood, by steps whose sizes follow the gradient's signs.
+    Penalised likelihood, by steps whose sizes follow the gradient's signs. A word
+    that is in none of the rows keeps its weight in ``start``, from all documents.
     ``share``: the true share of toxic documents.
     """
     weights, shared = start.copy(), Field().shared.copy()
@@ -171,8 +169,8 @@ def fit(samples: list[tuple[int, list[int], list[int]]], start: np.ndarray, shar
         at = to
 
     def likelihood(weights: np.ndarray, shared: np.ndarray, gradient: bool) -> tuple[float, np.ndarray]:
-        value = -0.005 * (weights**2).sum() - 0.02 * (shared**2).sum()
-        slopes = -0.01 * weights
+        value = -0.005 * ((weights - start) ** 2).sum() - 0.02 * (shared**2).sum()
+        slopes = -0.01 * (weights - start)
         for toxic, gaps, words in groups:
             hot = np.where(words >= 0, weights[words], np.nan)
             z, p = _passes(gaps, hot, shared, gradient)
@@ -285,8 +283,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Field:
     n0 = F.col("n") - F.col("n1")
     gain = F.col("n1") * F.log(F.col("n1") / F.col("n") / evident) + F.when(n0 > 0, n0 * F.log(n0 / F.col("n") / (1 - evident))).otherwise(0)
     often = F.col("n1") * (1 - evident) > ODDS * evident * n0
-    candidates = counts.filter(often).withColumn("gain", gain).filter(F.col("gain") > least).orderBy(F.desc("gain"), "word").limit(CANDIDATES).collect()
-    lexicon = candidates[:LEXICON]
+    lexicon = counts.filter(often).withColumn("gain", gain).filter(F.col("gain") > least).orderBy(F.desc("gain"), "word").collect()
     out.words = {r.word: i for i, r in enumerate(lexicon)}
     start = np.array([math.log((r.n1 + 0.5) / (r.n - r.n1 + 0.5) / evident * (1 - evident)) for r in lexicon])
     words = out.words

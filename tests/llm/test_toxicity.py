@@ -134,3 +134,21 @@ def test_a_hot_family_of_near_copies_removes_no_word(spark, make_docs):
     model = toxicity.train(make_docs([x for x, _ in rows]), labels)
     assert set(model.words) == set(LEXICON)
     assert [s for s in toxicity.tag(rows[-1][0], model)]
+
+
+def test_the_lexicon_has_no_most(spark, make_docs):
+    rng = random.Random(1)
+    words = ["".join(x) for x in product("bdfgklmnprst", "aeiou", "bdfgk", "aeiou", "xz")][:2600]
+    rows = []
+    for _ in range(16):  # each word in 16 toxic documents, among other words each time
+        rng.shuffle(words)
+        rows += [(" ".join(words[at : at + 40]), 1) for at in range(0, len(words), 40)]
+    rows += [(" ".join(f"{rng.choice('cjq')}{rng.choice('aeiou')}{rng.choice('cjqv')}o" for _ in range(40)), 0) for _ in range(2 * len(rows))]
+    labels = spark.createDataFrame([(i, 1, t) for i, (_, t) in enumerate(rows)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(make_docs([x for x, _ in rows]), labels)
+    assert set(model.words) == set(words) and len(words) == 2600
+
+
+def test_a_word_outside_the_sample_keeps_its_weight():
+    weights, *_ = toxicity.fit([(1, [1, 1], [0]), (0, [3], [])] * 20, np.array([3.0, 4.0]), 0.3)
+    assert weights[1] == 4.0
