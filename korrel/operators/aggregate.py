@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from korrel.functions.values import as_double
 from korrel.schema import Table, column, quoted
+from korrel.scratch import Scratch
 
 
 def average(table: Table, of: str, by: str, exact: bool = False) -> Table:
@@ -32,21 +33,22 @@ def distinct(table: Table) -> Table:
 def _runs(df: DataFrame, same: Sequence[str], order: Sequence[str]) -> DataFrame:
     """``df`` with columns ``run`` and ``first``: runs of adjacent rows with equal ``same`` fields.
 
-    Rows are range-partitioned by ``order``; only one row per partition, its last,
-    meets the others' in one task.
+    Rows are range-partitioned by ``order`` and written once with the number of their
+    partition, since another run of the same plan would cut the ranges elsewhere. Of
+    each partition only its ends and the number of its runs meet the others' in one task.
     """
     value = F.struct(*(column(f) for f in same))
-    rows = df.repartitionByRange(*(column(f) for f in order)).withColumn("part", F.spark_partition_id())
     inside = Window.partitionBy("part").orderBy(*(column(f) for f in order))
-    rows = rows.withColumn("value", value).withColumn("place", F.row_number().over(inside)).withColumn("before", F.lag("value").over(inside))
-    ends = rows.groupBy("part").agg(F.max_by("value", "place").alias("last"), F.min_by("value", "place").alias("head"), F.count_if((F.col("place") > 1) & ~F.col("value").eqNullSafe(F.col("before"))).alias("inner"))
+    rows = df.repartitionByRange(*(column(f) for f in order)).withColumn("part", F.spark_partition_id()).withColumn("value", value)
+    rows = rows.withColumn("place", F.row_number().over(inside)).withColumn("before", F.lag("value").over(inside))
+    rows = rows.withColumn("inner", (F.col("place") > 1) & ~F.col("value").eqNullSafe(F.col("before"))).drop("before")
+    rows = Scratch(df.sparkSession).keep(rows.withColumn("later", F.sum(F.col("inner").cast("long")).over(inside)), "runs")
+    ends = rows.groupBy("part").agg(F.max_by("value", "place").alias("last"), F.min_by("value", "place").alias("head"), F.max("later").alias("later"))
     across = Window.orderBy("part")
     ends = ends.withColumn("new", ~F.col("head").eqNullSafe(F.lag("last").over(across)) | F.lag("last").over(across).isNull())
-    ends = ends.withColumn("upto", F.sum(F.col("inner") + F.col("new").cast("long")).over(across) - F.col("inner")).select(F.col("part").alias("of"), "new", "upto")
-    first = F.when(F.col("place") == 1, F.col("new")).otherwise(~F.col("value").eqNullSafe(F.col("before")))
-    rows = rows.join(ends, F.col("part") == F.col("of")).withColumn("first", first)
-    later = F.sum(((F.col("place") > 1) & F.col("first")).cast("long")).over(inside)
-    return rows.withColumn("run", F.col("upto") + later)
+    ends = ends.withColumn("upto", F.sum(F.col("later") + F.col("new").cast("long")).over(across) - F.col("later"))
+    rows = rows.join(F.broadcast(ends.select("part", "new", "upto")), "part")  # a row for each partition
+    return rows.withColumn("first", F.when(F.col("place") == 1, F.col("new")).otherwise(F.col("inner"))).withColumn("run", F.col("upto") + F.col("later"))
 
 
 def average_runs(table: Table, of: str, by: str, order: Sequence[str]) -> Table:

@@ -45,13 +45,22 @@ def hash_join(r: Table, s: Table, r_field: str, s_field: str, strategy: str = "b
 def hybrid_join(r: Table, s: Table, r_field: str, s_field: str, in_memory_fraction: float, partitions: int, bloom: bool = False) -> Table:
     """The same join with both tables partitioned on the key.
 
-    The parameters are checked as given. Spark decides itself what stays in memory
-    and whether a Bloom filter on r's keys pays; ``partitions`` sets the exchange.
+    Spark decides itself what stays in memory, so the fraction is only checked;
+    ``partitions`` sets the exchange. ``bloom`` reduces s to rows whose key r has before
+    it is shuffled: by r's keys themselves, broadcast if their estimated size allows,
+    else that is left to Spark's own runtime filter.
     """
     if not 0 < in_memory_fraction < 1:
         raise ValueError("the fraction must be between 0 and 1")
     if not 0 < partitions <= _MOST_PARTITIONS:
         raise ValueError(f"partitions must be in 1..{_MOST_PARTITIONS}")
+    if bloom and r.kind(r_field) == s.kind(s_field):
+        key = "key"
+        while key in s.fields:
+            key += "_"
+        keys = Table(r.name, r.df.select(column(r_field).alias(key)).distinct())
+        if estimated_bytes(keys) <= BROADCAST_BYTES:
+            s = Table(s.name, s.df.join(F.broadcast(keys.df), column(s_field) == column(key), "left_semi"))
     r = Table(r.name, r.df.repartition(partitions, column(r_field)))
     s = Table(s.name, s.df.repartition(partitions, column(s_field)))
     return hash_join(r, s, r_field, s_field, "shuffle_hash")

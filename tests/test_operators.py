@@ -103,6 +103,33 @@ def test_runs(spark, parts):
         spark.conf.set("spark.sql.shuffle.partitions", old)
 
 
+@pytest.fixture(scope="module")
+def many(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("many") / "t")
+    spark.range(2_000_000, numPartitions=16).selectExpr("id", "cast(pmod(xxhash64(id), 3) as int) as g", "cast(id % 7 as double) as x").repartition(16, "x").write.parquet(path)
+    return path
+
+
+@pytest.mark.parametrize("parts", [2, 8, 64])
+def test_runs_over_many_files(spark, many, parts):
+    import duckdb
+
+    runs = f"(select *, sum(new) over (order by id) as run from (select *, case when g = lag(g) over (order by id) then 0 else 1 end as new from '{many}/*.parquet'))"
+    con = duckdb.connect()
+    n, firsts = con.execute(f"select sum(new)::bigint, sum(id * new)::bigint from {runs}").fetchone()
+    by_group = con.execute(f"select g, count(*), round(sum(a), 3) from (select g, run, avg(x) as a from {runs} group by 1, 2) group by 1 order by 1").fetchall()
+    t = Table("t", spark.read.parquet(many))
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        found = distinct_runs(t, ["id"], ["g"]).df
+        assert tuple(found.agg(F.count("*"), F.sum("id")).first()) == (n, firsts)
+        averages = average_runs(t, "x", "g", ["id"]).df.groupBy("g").agg(F.count("*"), F.round(F.sum("average"), 3)).orderBy("g")
+        assert [tuple(r) for r in averages.collect()] == by_group
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 @pytest.mark.parametrize("field,kind", [("film", STRING), ("rating", FLOAT64), ("year", INT32)])
 @pytest.mark.parametrize("descending", [False, True])
 def test_sort_and_merge(spark, field, kind, descending):
@@ -150,6 +177,19 @@ def test_joins(logins, strategy):
     assert "join(user.id = login.user_id).user.id" in nested.df.columns
 
 
+def test_hybrid_join_filters_by_the_first_tables_keys(spark, logins, monkeypatch):
+    from korrel.operators import join
+
+    one = Table("user", spark.range(7).selectExpr("cast(id as int) as id").filter("id % 4 = 3"))  # its size is known
+    login = Table("login", logins[1].df.withColumnRenamed("timestamp", "key"))
+    plan = lambda t: t.df._jdf.queryExecution().optimizedPlan().toString()
+    on, off = (hybrid_join(one, login, "id", "user_id", 0.3, 5, bloom=x) for x in (True, False))
+    assert sorted(rows(on)) == sorted(rows(off)) and len(rows(on)) == 14
+    assert plan(on).count("Join") == 2 and plan(off).count("Join") == 1
+    monkeypatch.setattr(join, "BROADCAST_BYTES", 0)
+    assert 1 == plan(hybrid_join(one, login, "id", "user_id", 0.3, 5, bloom=True)).count("Join")
+
+
 def test_strategies_show_in_plans(spark, logins):
     user, login = Table("user", spark.range(7).selectExpr("cast(id as int) as id")), logins[1]
     plan = lambda s: hash_join(user, login, "id", "user_id", s).df._jdf.queryExecution().executedPlan().toString()
