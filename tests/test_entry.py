@@ -44,6 +44,13 @@ def test_with_an_empty_leftover_folder(tmp_path):
     assert run(tmp_path) == 0
 
 
+def test_when_the_subpackage_cannot_be_imported(tmp_path):
+    copy(tmp_path)
+    if (tmp_path / "korrel/llm/queries.py").exists():
+        (tmp_path / "public_tokenizers.py").write_text("raise ImportError('not here')\n")
+        assert run(tmp_path) == 0
+
+
 def test_flagship(spark):
     import __spark_entry__
 
