@@ -183,6 +183,12 @@ def join_hybrid(spark, sf_dir):
     return hybrid_join(o, lines, "o_orderkey", "l_orderkey", 0.1, 9).df
 
 
+@query(f"select {_LINES} from orders join lineitem on o_orderkey = l_orderkey where o_orderkey % 5 = 0")
+def join_hybrid_filter(spark, sf_dir):
+    o, lines = _orders_lines(spark, sf_dir)
+    return hybrid_join(Table("orders", o.df.filter("o_orderkey % 5 = 0")), lines, "o_orderkey", "l_orderkey", 0.1, 9, bloom=True).df
+
+
 @query("select a.user_id as user_id, count(*) as n from events a join events b on a.user_id = b.user_id group by a.user_id")
 def join_self_count(spark, sf_dir):
     # Pairs of equal keys are counted from the keys' counts, so none is made.
@@ -212,28 +218,49 @@ def topk(spark, sf_dir):
     return top_k(project(table(spark, sf_dir, "orders"), ["o_orderkey", "o_totalprice"]), "o_totalprice", 10, ties=["o_orderkey"]).df
 
 
-def _position(t: Table, *order) -> DataFrame:
-    """The rows with their place in the order; a row_number over all rows, to make order visible in a result."""
-    return t.df.withColumn("pos", F.row_number().over(Window.orderBy(*order)).cast("long"))
+def _position(t: Table) -> DataFrame:
+    """The rows with their place in the table's own order.
+
+    Places come from the partitions and the rows' places there, written once as they
+    come, so the order is the operator's and no task sees more than its partition.
+    """
+    rows = Scratch(t.df.sparkSession).keep(t.df.withColumn("at", F.monotonically_increasing_id()), "numbered")
+    rows = rows.withColumn("part", F.shiftright("at", 33))
+    sizes = rows.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    place = F.col("before") + F.col("at") - F.shiftleft("part", 33) + 1
+    return rows.join(F.broadcast(before), "part").withColumn("pos", place).drop("at", "part", "before")
 
 
 @query("select n_nationkey, n_name, row_number() over (order by n_name desc) as pos from nation")
 def sort_position(spark, sf_dir):
-    t = sort(project(table(spark, sf_dir, "nation"), ["n_nationkey", "n_name"]), "n_name", descending=True)
-    return _position(t, F.col("n_name").desc())
+    return _position(sort(project(table(spark, sf_dir, "nation"), ["n_nationkey", "n_name"]), "n_name", descending=True))
 
 
-@query("select o_orderkey, o_totalprice from orders")
+@query("select o_orderkey, o_totalprice, row_number() over (order by o_totalprice, o_orderkey) as pos from orders")
 def sort_all(spark, sf_dir):
-    return sort(project(table(spark, sf_dir, "orders"), ["o_orderkey", "o_totalprice"]), "o_totalprice", ties=["o_orderkey"]).df
+    return _position(sort(project(table(spark, sf_dir, "orders"), ["o_orderkey", "o_totalprice"]), "o_totalprice", ties=["o_orderkey"]))
+
+
+@query("select o_orderkey, o_totalprice, row_number() over (order by o_totalprice desc, o_orderkey) as pos from orders")
+def sort_descending(spark, sf_dir):
+    return _position(sort(project(table(spark, sf_dir, "orders"), ["o_orderkey", "o_totalprice"]), "o_totalprice", descending=True, ties=["o_orderkey"]))
 
 
-@query("select n_nationkey, n_name, row_number() over (order by n_nationkey) as pos from nation")
+@query("select o_orderkey, o_orderstatus, row_number() over (order by o_orderkey) as pos from orders")
 def merge_sorted(spark, sf_dir):
-    n = project(table(spark, sf_dir, "nation"), ["n_nationkey", "n_name"])
-    low = sort(select(n, less(n, "n_nationkey", 11)), "n_nationkey")
-    high = sort(select(n, ~less(n, "n_nationkey", 11)), "n_nationkey")
-    return _position(merge([high, low], "n_nationkey"), "n_nationkey")
+    o = project(table(spark, sf_dir, "orders"), ["o_orderkey", "o_orderstatus"])
+    parts = [sort(select(o, equals(o, "o_orderstatus", x)), "o_orderkey") for x in ("P", "F", "O")]
+    return _position(merge(parts, "o_orderkey"))
+
+
+@query("select 7 as n, 7 as n_keys, 0 as n_others from region limit 1")
+def limit_some(spark, sf_dir):
+    # Which rows come is open, how many and that the table has them is not.
+    first = limit(table(spark, sf_dir, "nation"), 7).df
+    every = table(spark, sf_dir, "nation").df.select(F.struct("*").alias("row"))
+    found = first.join(every, F.struct(*first.columns) == F.col("row"), "left")
+    return found.agg(F.count("*").cast("int").alias("n"), F.countDistinct("n_nationkey").cast("int").alias("n_keys"), F.count_if(F.col("row").isNull()).cast("int").alias("n_others"))
 
 
 @query("select * from region limit 100")
@@ -291,6 +318,41 @@ def heap_insert(spark, sf_dir):
     return heap.scan("nation").df
 
 
+@query("select n_nationkey + 100 as n_nationkey, n_name, n_regionkey, true as found from nation")
+def heap_insert_ids(spark, sf_dir):
+    # Records are addressed by the ids that their insert returned.
+    heap, _ = _heap(spark, sf_dir, "nation")
+    ids = heap.insert(table(spark, sf_dir, "nation").df.withColumn("n_nationkey", (F.col("n_nationkey") + 100).cast("int")))
+    rows = heap.scan_with_ids()
+    return ids.join(rows, (F.col("id.file") == ids.file) & (F.col("id.row") == ids.row)).select("record.*", F.lit(True).alias("found"))
+
+
+@query("select r_regionkey, r_name from region union all select 90, 'created'")
+def heap_create(spark, sf_dir):
+    region = table(spark, sf_dir, "region")
+    heap = HeapFile.create(spark, f"{Scratch(spark).path('region')}/heap", region.df.schema)
+    heap.insert(region.df)
+    heap.insert_one((90, "created"))
+    return HeapFile(spark, heap.path).scan("region").df
+
+
+@query("select r_regionkey, r_name from region where r_regionkey < 3")
+def heap_get(spark, sf_dir):
+    heap, _ = _heap(spark, sf_dir, "region")
+    rows = table(spark, sf_dir, "region").df.filter("r_regionkey < 3").collect()
+    ids = [heap.insert_one(tuple(r)) for r in rows]
+    return spark.createDataFrame([heap.get(i) for i in ids], heap.fields)
+
+
+@query("select r_regionkey, r_name from region union all select 92, 'kept'")
+def heap_delete_one(spark, sf_dir):
+    heap, _ = _heap(spark, sf_dir, "region")
+    gone, _ = heap.insert_one((91, "gone")), heap.insert_one((92, "kept"))
+    heap.delete(gone)
+    heap.delete(gone)
+    return heap.scan("region").df
+
+
 @query("select count(*) as n, count(*) as n_ids from orders")
 def heap_record_ids(spark, sf_dir):
     heap, _ = _heap(spark, sf_dir, "orders")
@@ -322,3 +384,26 @@ def index_lookup_average(spark, sf_dir):
     heap, path = _heap(spark, sf_dir, "orders")
     found = Index.build(f"{path}/index", heap, "o_custkey").scan_equal(heap, "orders", 42)
     return average(project(found, ["o_custkey", "o_totalprice"]), "o_totalprice", "o_custkey", exact=True).df
+
+
+@query("select o_custkey as key, count(*) as n from orders where o_custkey in (41, 42) group by 1")
+def index_add(spark, sf_dir):
+    # Made empty, filled in two steps, opened again and looked up.
+    heap, path = _heap(spark, sf_dir, "orders")
+    entries = heap.scan_with_ids().select(F.col("record.o_custkey").alias("key"), "id.file", "id.row")
+    index = Index.create(spark, f"{path}/index")
+    for half in (0, 1):
+        index.add(entries.filter(F.col("key") % 2 == half))
+    index = Index(spark, f"{path}/index")
+    return index.find_equal(41).unionByName(index.find_equal(42)).groupBy("key").agg(F.count("*").alias("n"))
+
+
+@query("select o_orderkey, o_custkey, dense_rank() over (order by o_custkey) as pos from orders where o_custkey >= 1400")
+def index_range_order(spark, sf_dir):
+    # The order of an index scan: keys in the order in which they first come.
+    heap, path = _heap(spark, sf_dir, "orders")
+    found = Index.build(f"{path}/index", heap, "o_custkey").scan_greater_equal(heap, "orders", 1400)
+    rows = _position(project(found, ["o_orderkey", "o_custkey"]))
+    firsts = rows.groupBy("o_custkey").agg(F.min("pos").alias("first"))
+    ranks = firsts.select("o_custkey", F.row_number().over(Window.orderBy("first")).cast("long").alias("pos"))
+    return rows.drop("pos").join(ranks, "o_custkey").select("o_orderkey", "o_custkey", "pos")

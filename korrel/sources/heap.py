@@ -8,6 +8,7 @@ a tombstone table, and every read leaves those out by an anti-join.
 
 from __future__ import annotations
 
+import uuid
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -62,11 +63,30 @@ class HeapFile:
         """Every live record."""
         return Table(name, self.scan_with_ids().select("record.*"))
 
-    def insert(self, rows: DataFrame) -> None:
-        """Append records; their ids show in the next ``scan_with_ids``."""
+    def insert(self, rows: DataFrame) -> DataFrame:
+        """Append records; their ids (file, row), in the order in which they were written.
+
+        The new files are written beside the heap and then moved into it, so that no
+        scan sees a part of them while they are written and their names are known.
+        """
         if [(f.name, f.dataType) for f in rows.schema] != [(f.name, f.dataType) for f in self.fields]:
             raise TypeError(f"the fields are {self.fields.simpleString()}, not {rows.schema.simpleString()}")
-        rows.write.mode("append").parquet(f"{self.path}/data")
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
+        new = f"{self.path}/incoming-{uuid.uuid4().hex}"
+        rows.write.parquet(new)
+        fs = hadoop(new).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        files = sorted(name for name in (f.getPath().getName() for f in fs.listStatus(hadoop(new))) if name.startswith("part-"))
+        for name in files:
+            if not fs.rename(hadoop(f"{new}/{name}"), hadoop(f"{self.path}/data/{name}")):
+                raise OSError(f"{new}/{name} could not be moved into the heap")
+        fs.delete(hadoop(new), True)
+        if not files:
+            return self.spark.createDataFrame([], _IDS)
+        return self._all(files).select("id.*")
+
+    def insert_one(self, record: tuple) -> RecordID:
+        """Append one record; its id."""
+        return RecordID(*self.insert(self.spark.createDataFrame([tuple(record)], self.fields).coalesce(1)).first())
 
     def _row(self, record_id: RecordID) -> Row:
         found = self._all([record_id.file]).filter((F.col("id.file") == record_id.file) & (F.col("id.row") == record_id.row)).head(1)

@@ -50,6 +50,14 @@ def test_csv_bad_cells(spark, tmp_path, line, multi_line):
             df.count()
 
 
+def test_csv_line_breaks_are_looked_for(spark, tmp_path):
+    long = "title,rating,views\n" + "".join(f'"t ""{i}""",{i}.5,{i}\n' for i in range(2000))
+    for text, n in ((long, 2000), (long + '"a\nb",1.0,1\n', 2001)):
+        got = scan(spark, tmp_path, text)
+        assert got.count() == n
+    assert got.filter("title = 'a\nb'").count() == 1
+
+
 def test_spill_files(spark, tmp_path):
     rows = [(f"t{i}" * 200, float(i), i) for i in range(10)]
     t = memory_scan(spark, "films", FILMS, rows)
@@ -93,7 +101,8 @@ def test_heap_records(spark, heap):
     assert heap.get(some[0]) is None
     left = {RecordID(*r.id): tuple(r.record) for r in heap.scan_with_ids().collect()}
     assert left == {i: r for i, r in ids.items() if i not in some}
-    heap.insert(memory_scan(spark, "f", FILMS, [("new", 9.0, 99)]).df)
+    new = [RecordID(*r) for r in heap.insert(memory_scan(spark, "f", FILMS, [("new", 9.0, 99)]).df).collect()]
+    assert len(new) == 1 and tuple(heap.get(new[0])) == ("new", 9.0, 99)
     assert heap.scan("films").df.filter("views = 99").count() == 1 and heap.scan("films").df.count() == 43
     for bad in (RecordID(some[0].file, 10**6), RecordID("part-none.parquet", 0)):
         with pytest.raises(Exception):
@@ -105,6 +114,21 @@ def test_heap_records(spark, heap):
     assert HeapFile(spark, heap.path).scan("films").df.count() == 43
 
 
+def test_heap_insert_gives_ids(spark, heap):
+    data = [(f"n{i}", float(i), 1000 + i) for i in range(40)]
+    ids = heap.insert(memory_scan(spark, "f", FILMS, data).df.repartition(5))
+    found = [RecordID(*r) for r in ids.collect()]
+    assert len(set(found)) == 40 and sorted(tuple(heap.get(i)) for i in found[:5])[0][2] >= 1000
+    before = heap.scan("films").df.count()
+    heap.delete_all(ids)
+    assert heap.scan("films").df.count() == before - 40
+    one = heap.insert_one(("one", 1.0, 5000))
+    assert tuple(heap.get(one)) == ("one", 1.0, 5000)
+    heap.delete(one)
+    assert heap.get(one) is None and heap.scan("films").df.count() == before - 40
+    assert heap.insert(spark.createDataFrame([], FILMS)).count() == 0
+
+
 @pytest.mark.parametrize("factor", [1.0, 0.7, 0.3])
 def test_index_entries(spark, tmp_path, factor):
     entries = spark.createDataFrame([(5 * k, f"f{j}", j) for k in range(100) for j in range(10)], "key long, file string, row long")
