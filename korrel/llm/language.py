@@ -5,15 +5,18 @@ A word's probability is the sum over all of its segmentations into pieces, found
 by the forward algorithm; a text's log-probability is the sum over its words.
 Pieces are learned by expectation: each training word is segmented in all ways
 under the current probabilities (equal ones at first), and the posterior piece
-counts, from a forward-backward pass, are summed per language on the tasks that
-read the text. What reaches the driver is at most pieces x languages numbers.
-
-Words are runs of letters in lower case with the vocabulary's word mark before
-them; runs of over 32 letters are cut every 32. A character that no piece covers
-counts as the vocabulary's unknown piece. Passes run over many distinct words at
-once, and each worker remembers the words it has scored.
-
-A text that is null or has no letter is ``und`` with score 0. With no training
+counts, from a forward-backward pass, are summed per language. Words are counted
+where they are read and segmented once each, wherever they occur. What reaches the
+driver is at most pieces x languages numbers.
+
+Words are runs of letters, with the marks that follow them, in lower case and with
+the vocabulary's word mark before them, however long. A character that no piece
+covers counts as the vocabulary's unknown piece. Passes run over many distinct words
+at once; in long words they are rescaled on the way, so that no probability gets too
+small for a number. Each worker remembers the words it has scored.
+
+A text that is null or has no letter (Unicode's category L; number signs such as a
+half or a Roman numeral sign are none) is ``und`` with score 0. With no training
 row at all every text is ``und``. A tie goes to the language that sorts first.
 Rows with a null ``lang`` do not train. Repeated rows are predicted each; extra
 columns are not read. An empty table gives no rows; texts of any length are read whole.
@@ -23,39 +26,40 @@ from __future__ import annotations
 
 import functools
 import itertools
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korrel.llm.common import pieces, texts
+from korrel.llm.common import Scratch, pieces, texts
 
 UNKNOWN = "und"
-LONGEST = 32
 #: Distinct words held by a task before it hands counts on, and remembered by a scorer.
 HELD = 200_000
 REMEMBERED = 600_000
-#: Languages at most; their number times the vocabulary bounds the model.
-LANGUAGES = 512
 _SMOOTH = 0.1
 _BYTES = 4 << 20
-_WORD = re.compile(r"[^\W\d_]+")
 _MARK = "▁"
 _BASE = 0x100000001B3
+#: Marked words up to this long need no rescaling; longer ones are rescaled every so many places.
+_PLAIN, _EVERY = 16, 8
+#: Places of words that are segmented at once.
+_PLACES = 1 << 17
+
+
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+_INNER = regex.compile(r"[\p{L}\p{M}]+")
 
 
 def words(text: str) -> list[str]:
-    """Runs of letters, lower case, cut where they are very long."""
-    found = _WORD.findall(text.lower())
-    if max(map(len, found), default=0) > LONGEST:
-        found = [w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
-    return found
+    """Runs of letters and marks, lower case."""
+    return _WORD.findall(text.lower())
 
 
 def _codes(group: list[str], width: int) -> np.ndarray:
@@ -82,14 +86,13 @@ class Vocabulary:
         by_size: dict[int, list[tuple[str, int]]] = defaultdict(list)
         for i in range(self.size):
             piece = model.id_to_piece(i)
-            if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i)) and _WORD.fullmatch(piece.removeprefix(_MARK) or "a") and piece == piece.lower():
+            if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i)) and _INNER.fullmatch(piece.removeprefix(_MARK) or "a") and piece == piece.lower():
                 by_size[len(piece)].append((piece, i))
         self.keys, self.ids = {}, {}
         for size, found in by_size.items():
-            if size <= LONGEST + 1:
-                keys = _hashes(_codes([p for p, _ in found], size), size)[:, 0]
-                order = np.argsort(keys)
-                self.keys[size], self.ids[size] = keys[order], np.array([i for _, i in found])[order]
+            keys = _hashes(_codes([p for p, _ in found], size), size)[:, 0]
+            order = np.argsort(keys)
+            self.keys[size], self.ids[size] = keys[order], np.array([i for _, i in found])[order]
 
     def matches(self, group: list[str], width: int) -> dict[int, np.ndarray]:
         """By piece length, the piece that starts at each place of each marked word, or -1."""
@@ -117,32 +120,52 @@ def _by_width(found: list[str]) -> Iterator[tuple[int, list[str]]]:
     for w in found:
         groups[len(w)].append(w)
     for width, group in groups.items():
-        for at in range(0, len(group), 8192):
-            yield width, group[at : at + 8192]
-
-
-def _forward(matched: dict[int, np.ndarray], chance: dict[int, np.ndarray], rows: int, width: int) -> list[np.ndarray]:
-    """Per place of the marked word, the summed probability of what ends there."""
-    languages = next(iter(chance.values())).shape[2]
-    ahead = [np.ones((rows, languages))]
-    for at in range(1, width + 2):
-        total = np.zeros((rows, languages))
-        for size, p in chance.items():
-            if size <= at:
-                total += ahead[at - size] * p[:, at - size]
-        ahead.append(total)
-    return ahead
+        step = max(1, _PLACES // (width + 1))
+        for at in range(0, len(group), step):
+            yield width, group[at : at + step]
+
+
+class _Chances:
+    """The probabilities of the pieces of each length at each place of marked words."""
+
+    def __init__(self, matched: dict[int, np.ndarray], chances: np.ndarray, width: int):
+        self.matched = {size: np.ascontiguousarray(m.T) for size, m in matched.items()}
+        self.padded = np.vstack([chances, np.zeros((1, chances.shape[1]))])  # -1 is no piece
+        self.rows, self.languages, self.end = len(next(iter(matched.values()))), chances.shape[1], width + 1
+        self.held = {size: self.padded[m] for size, m in self.matched.items()} if width < _PLAIN else None
+
+    def at(self, size: int, place: int) -> np.ndarray:
+        return self.held[size][place] if self.held else self.padded[self.matched[size][place]]
+
+    def sums(self, back: bool = False, last_only: bool = False) -> tuple[list, list]:
+        """Per place, the summed probability of what ends there (``back``: of what
+        starts there), and the logarithm by which it is to be shifted."""
+        near: dict[int, np.ndarray] = {0: np.ones((self.rows, self.languages))}
+        out, shifts, shift = [near[0]], [0.0], 0.0
+        reach = max(self.matched)
+        for step in range(1, self.end + 1):
+            total = np.zeros((self.rows, self.languages))
+            for size in self.matched:
+                if size <= step:
+                    total += near[step - size] * self.at(size, self.end - step if back else step - size)
+            near[step] = total
+            near.pop(step - reach, None)
+            if self.end > _PLAIN and step % _EVERY == 0 and step < self.end:
+                near = {k: x / total for k, x in near.items()}
+                shift = shift + np.log(total)
+            if not last_only or step == self.end:
+                out.append(near[step])
+                shifts.append(shift)
+        return out, shifts
 
 
 def log_probabilities(found: list[str], own: Vocabulary, chances: np.ndarray) -> np.ndarray:
     """(words, languages): log of each word's probability over all segmentations."""
     out = np.zeros((len(found), chances.shape[1]))
     place = {w: i for i, w in enumerate(found)}
-    padded = np.vstack([chances, np.zeros((1, chances.shape[1]))])  # -1 is no piece
     for width, group in _by_width(found):
-        matched = own.matches(group, width)
-        end = _forward(matched, {s: padded[m] for s, m in matched.items()}, len(group), width)[-1]
-        out[[place[w] for w in group]] = np.log(end)
+        ends, shifts = _Chances(own.matches(group, width), chances, width).sums(last_only=True)
+        out[[place[w] for w in group]] = np.log(ends[-1]) + shifts[-1]
     return out
 
 
@@ -153,27 +176,27 @@ def expectations(counts: dict[str, np.ndarray], own: Vocabulary, chances: np.nda
     """
     languages = len(next(iter(counts.values())))
     out = np.zeros((own.size, languages))
-    padded = np.vstack([chances, np.zeros((1, chances.shape[1]))])
     for width, group in _by_width(list(counts)):
         matched = own.matches(group, width)
-        chance = {s: padded[m] for s, m in matched.items()}
-        ahead = _forward(matched, chance, len(group), width)
-        back = [np.ones_like(ahead[0])]
-        for at in range(width, -1, -1):
-            total = np.zeros_like(ahead[0])
-            for size, p in chance.items():
-                if at + size <= width + 1:
-                    total += p[:, at] * back[width + 1 - at - size]
-            back.append(total)
-        back.reverse()
-        weight = np.array([counts[w] for w in group], dtype=float) / ahead[-1]
+        chance = _Chances(matched, chances, width)
+        ahead, ahead_shift = chance.sums()
+        back, back_shift = chance.sums(back=True)
+        whole = np.log(ahead[-1]) + ahead_shift[-1]
+        number = np.array([counts[w] for w in group], dtype=float)
+        plain = number / ahead[-1] if width < _PLAIN else None
         for size, m in matched.items():
             for at in range(width + 2 - size):
-                some = m[:, at] >= 0
-                if some.any():
-                    share = ahead[at][some] * chance[size][some, at] * back[at + size][some] * weight[some]
-                    for language in range(languages):
-                        out[:, language] += np.bincount(m[some, at], weights=share[:, language], minlength=own.size)
+                some = np.flatnonzero(m[:, at] >= 0)
+                if not len(some):
+                    continue
+                after = width + 1 - at - size
+                share = (ahead[at] * chance.at(size, at) * back[after])[some]
+                if plain is None:
+                    share = share * np.exp(ahead_shift[at] + back_shift[after] - whole)[some] * number[some]
+                else:
+                    share = share * plain[some]
+                for language in range(languages):
+                    out[:, language] += np.bincount(m[some, at], weights=share[:, language], minlength=own.size)
     return out
 
 
@@ -185,44 +208,51 @@ class Model:
 
 
 def train(docs: DataFrame, path: str, rounds: int = 1) -> Model:
-    """A model from columns ``text`` and ``lang``; each round reads the documents once."""
+    """A model from columns ``text`` and ``lang``; the documents are read once, their words segmented in each round."""
     rows = docs.select(F.col("text").cast("string"), F.col("lang").cast("string")).dropna()
-    languages = sorted(r.lang for r in rows.select("lang").distinct().limit(LANGUAGES + 1).collect())
-    if len(languages) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    languages = sorted(r.lang for r in rows.select("lang").distinct().collect())
     own = vocabulary(path)
     if not languages:
         return Model(path, [], np.zeros((own.size, 0)))
     chances = np.full((own.size, 1), 1.0 / own.size)
     number = {x: i for i, x in enumerate(languages)}
+    counted = pa.schema([("word", pa.string()), ("language", pa.int32()), ("n", pa.int64())])
     schema = pa.schema([("language", pa.int32()), ("piece", pa.int32()), ("uses", pa.float64())])
 
-    def count(batches: Iterator[pa.RecordBatch], chances: np.ndarray) -> Iterator[pa.RecordBatch]:
-        own = vocabulary(path)
-        total = np.zeros((own.size, len(languages)))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Counter] = [Counter() for _ in languages]
 
-        def add() -> None:
-            table: dict[str, np.ndarray] = {}
+        def hand_on() -> Iterator[pa.RecordBatch]:
             for language, counts in enumerate(held):
-                for w, n in counts.items():
-                    table.setdefault(w, np.zeros(len(languages)))[language] = n
+                if counts:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array([language] * len(counts), pa.int32()), pa.array(list(counts.values()), pa.int64())], schema=counted)
                 counts.clear()
-            if table:
-                total.__iadd__(expectations(table, own, chances))
 
         for batch in batches:
             for part in pieces(batch, limit=_BYTES):
                 for text, lang in zip(texts(part), part.column("lang").to_pylist(), strict=True):
                     held[number[lang]].update(words(text))
                 if sum(map(len, held)) > HELD:
-                    add()
-        add()
+                    yield from hand_on()
+        yield from hand_on()
+
+    def segment(batches: Iterator[pa.RecordBatch], chances: np.ndarray) -> Iterator[pa.RecordBatch]:
+        own = vocabulary(path)
+        total = np.zeros((own.size, len(languages)))
+        for batch in batches:
+            table: dict[str, np.ndarray] = {}
+            for word, language, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                table.setdefault(word, np.zeros(len(languages)))[language] += n
+            if table:
+                total += expectations(table, own, chances)
         piece, language = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(language, pa.int32()), pa.array(piece, pa.int32()), pa.array(total[piece, language])], schema=schema)
 
+    scratch = Scratch(docs.sparkSession) if rounds > 1 else None
+    counts = rows.mapInArrow(count, "word string, language int, n long").groupBy("word", "language").agg(F.sum("n").alias("n"))
+    counts = scratch.keep(counts, "words") if scratch else counts
     for _ in range(rounds):
-        found = rows.mapInArrow(functools.partial(count, chances=chances), "language int, piece int, uses double").groupBy("language", "piece").agg(F.sum(F.round("uses", 6).cast("decimal(30,6)")).cast("double").alias("uses"))
+        found = counts.mapInArrow(functools.partial(segment, chances=chances), "language int, piece int, uses double").groupBy("language", "piece").agg(F.sum(F.round("uses", 6).cast("decimal(38,6)")).cast("double").alias("uses"))
         uses = np.full((own.size, len(languages)), _SMOOTH)
         for batch in found.toArrow().to_batches():  # at most pieces x languages rows
             np.add.at(uses, (batch.column("piece").to_numpy(), batch.column("language").to_numpy()), batch.column("uses").to_numpy())

@@ -52,7 +52,7 @@ def test_forward_sums_all_segmentations():
     pieces = {sp.id_to_piece(i): i for i in kept}
     rng = np.random.default_rng(1)
     chances = rng.random((own.size, 2)) / 1000
-    words = ["a", "the", "eine", "straße", "queue", "日本", "ᚠᛇ", "thethe"]
+    words = ["a", "the", "eine", "straße", "queue", "日本", "ᚠᛇ", "thethe", "ᚠᛇ" * 20, "e" + "\u0301"]
     got = language.log_probabilities(words, own, chances)
     counts = {w: np.array([i + 1.0, 2.0]) for i, w in enumerate(words)}
     uses = np.zeros((own.size, 2))
@@ -67,6 +67,48 @@ def test_forward_sums_all_segmentations():
     assert language.expectations(counts, own, chances) == pytest.approx(uses)
 
 
+def test_long_words_are_rescaled(monkeypatch):
+    """Probabilities of any size, words of any length: what short words give without rescaling."""
+    own = language.vocabulary(PATH)
+    rng = np.random.default_rng(2)
+    chances = rng.random((own.size, 2)) * 1e-4 + 1e-9
+    words = ["".join(rng.choice(list("aeinrst"), size=n)) for n in (3, 15, 16, 17, 18, 25, 40, 60)]
+    counts = {w: np.array([1.0 + i, 2.0]) for i, w in enumerate(words)}
+    got = language.log_probabilities(words, own, chances), language.expectations(counts, own, chances)
+    monkeypatch.setattr(language, "_PLAIN", 100)
+    want = language.log_probabilities(words, own, chances), language.expectations(counts, own, chances)
+    assert got[0] == pytest.approx(want[0]) and got[1] == pytest.approx(want[1])
+    monkeypatch.undo()
+    tiny = np.full((own.size, 2), 1e-13)
+    far = ["ᚠ" * 16, "ᚠ" * 17, "ᚠ" * 500, "e" * 20_000]
+    logs, uses = language.log_probabilities(far, own, tiny), language.expectations({w: np.ones(2) for w in far}, own, tiny)
+    assert np.isfinite(logs).all() and np.isfinite(uses).all() and logs[2, 0] == pytest.approx(500 * math.log(1e-13), rel=0.1)
+
+
+def test_scores_of_a_model_of_very_much_text():
+    own = language.vocabulary(PATH)
+    uses = np.full((own.size, 3), 0.1)
+    uses[:100] += 1e12
+    scorer = language.Scorer(language.Model(PATH, ["aa", "bb", "cc"], uses / uses.sum(axis=0) * [1, 0.5, 2]))
+    predicted, score = scorer.predict(["ᚠ" * 32, "ᚠᛇ " * 500, "日" * 5000, "the"])
+    assert (0 <= score).all() and (score <= 1).all() and predicted == ["cc"] * 4
+
+
+def test_what_a_letter_is(spark, model):
+    none = ["½ ²", "Ⅷ ①", "٣ 12", "\u0301 !"]
+    assert [language.words(x) for x in none] == [[]] * 4
+    assert language.words("Ärger e\u0301te\u0301 हिन्दी 一二") == ["ärger", "e\u0301te\u0301", "हिन्दी", "一二"]
+    rows = frame(spark, [(None, x) for x in none])
+    assert [(r.lang_pred, r.score) for r in language.predict(rows, model).collect()] == [("und", 0.0)] * 4
+    assert language.keep_identified(rows, model).collect() == []
+
+
+def test_many_languages(spark):
+    rows = [(f"l{i:04}", f"{chr(0x4E00 + i) * 3} {chr(0x4E00 + 2 * i)}") for i in range(600)]
+    found = language.train(frame(spark, rows), PATH)
+    assert len(found.languages) == 600 and found.chances.sum(axis=0) == pytest.approx(1)
+
+
 def test_held_out_accuracy(spark, model):
     rows = texts(120, 2)
     assert model.languages == ["aa", "bb", "cc"] and model.chances.sum(axis=0) == pytest.approx(1)
