@@ -9,8 +9,9 @@ back to where those ways meet. What lies before that point can no longer change
 and is emitted, at most one longest entry behind the input. States and moves are
 made when first met and then looked up.
 
-Decoding maps ids to bytes; ``Utf8`` turns bytes that arrive in any portions into
-complete code points by a state machine.
+Decoding maps ids to bytes, some thousands at a time; ``Utf8``, a state machine, turns
+bytes that arrive in any portions into complete code points. Texts are split into
+pieces and decoded in portions too, so a very long text needs little more than itself.
 
 Null texts count as empty: no ids. Special tokens are ordinary text. Rows may
 repeat; extra columns are not read. A text of any length is
@@ -22,6 +23,8 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import itertools
+import json
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -35,12 +38,23 @@ from korrel.llm.common import by_row
 #: Pieces and states remembered by a worker; beyond that it starts anew.
 REMEMBERED = 800_000
 STATES = 250_000
+#: Pieces encoded, and ids decoded, at a time.
+PORTION = 1 << 16
 PAIRS = 1_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
+    """Token bytes to ids, from a rank file or a ``tokenizers`` file of a byte-level model."""
     with open(path, "rb") as lines:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        if not path.endswith(".json"):
+            return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        content = json.load(lines)
+    # Such files show each byte as a printable character: itself, or the next one from 256 on.
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    added = {t["content"] for t in content["added_tokens"]}
+    return {bytes(map(byte.__getitem__, token)): i for token, i in content["model"]["vocab"].items() if token not in added}
 
 
 def merge(data: bytes, ranks: dict[bytes, int], least: int = 1) -> list[bytes]:
@@ -215,20 +229,24 @@ class Codec:
         self.names = [str(i) for i in range(len(self.table))]
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.pieces.__getitem__, self.split.findall(text))), dtype="<u4")
-
-    def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.table.__getitem__, ids))
+        if len(text) < PORTION:
+            return np.frombuffer(b"".join(map(self.pieces.__getitem__, self.split.findall(text))), dtype="<u4")
+        parts = map(self.pieces.__getitem__, (m[0] for m in self.split.finditer(text)))
+        return np.frombuffer(b"".join(iter(lambda: b"".join(itertools.islice(parts, PORTION)), b"")), dtype="<u4")
 
     def decode_stream(self, ids: Iterable[int]) -> Iterator[str]:
         """The text in portions, each as soon as its last byte has come."""
-        machine = Utf8()
-        for i in ids:
-            if part := machine.feed(self.table[i]):
+        machine, ids = Utf8(), iter(ids)
+        while portion := list(itertools.islice(ids, PORTION)):
+            if part := machine.feed(b"".join(map(self.table.__getitem__, portion))):
                 yield part
         if part := machine.close():
             yield part
 
+    def decode(self, ids: Iterable[int]) -> bytes:
+        """The bytes of any ids, well-formed or not."""
+        return b"".join(map(self.table.__getitem__, ids))
+
 
 @functools.lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
@@ -259,33 +277,42 @@ class Utf8:
         self.low, self.high, self.left = 0x80, 0xBF, 0
 
     def feed(self, data: bytes) -> str:
-        if not self.left and data.isascii():
-            return data.decode("ascii")
-        out = []
-        for byte in data:
-            if self.left:
-                if self.low <= byte <= self.high:
-                    self.held += bytes((byte,))
-                    self.left -= 1
-                    self.low, self.high = 0x80, 0xBF
-                    if not self.left:
-                        out.append(self.held.decode())
-                        self.held = b""
-                    continue
-                out.append("�")
-                self.held, self.left = b"", 0
-                self.low, self.high = 0x80, 0xBF
-            if byte < 0x80:
-                out.append(chr(byte))
-                continue
-            for first, last, low, high, left in self.LEADS:
-                if first <= byte <= last:
-                    self.held, self.low, self.high, self.left = bytes((byte,)), low, high, left
+        out: list[str] = []
+        at, view = 0, memoryview(data)
+        while at < len(data):
+            if not self.left:  # between code points: the well-formed stretch from here at once
+                try:
+                    out.append(str(view[at:], "utf-8"))
                     break
-            else:
-                out.append("�")
+                except UnicodeDecodeError as e:
+                    out.append(str(view[at : at + e.start], "utf-8"))
+                    at += e.start
+            at = self._step(data, at, out)
         return "".join(out)
 
+    def _step(self, data: bytes, at: int, out: list[str]) -> int:
+        """One byte; the place to go on from."""
+        byte = data[at]
+        if self.left:
+            if self.low <= byte <= self.high:
+                self.held += bytes((byte,))
+                self.left -= 1
+                self.low, self.high = 0x80, 0xBF
+                if not self.left:
+                    out.append(self.held.decode())
+                    self.held = b""
+                return at + 1
+            out.append("�")
+            self.held, self.left = b"", 0
+            self.low, self.high = 0x80, 0xBF
+            return at  # the byte starts anew
+        for first, last, low, high, left in self.LEADS:
+            if first <= byte <= last:
+                self.held, self.low, self.high, self.left = bytes((byte,)), low, high, left
+                return at + 1
+        out.append("�" if byte >= 0x80 else chr(byte))
+        return at + 1
+
     def close(self) -> str:
         """What a sequence cut off at the end gives."""
         cut, self.held, self.left = bool(self.held), b"", 0
@@ -302,8 +329,14 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def row(text: str | None) -> tuple:
         own = codec(path, pattern)
         ids = own.encode(text or "").tolist()
-        back = own.decode(ids)
-        return len(ids), hashlib.sha256(" ".join(map(own.names.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(back).hexdigest(), back == (text or "").encode()
+        names, back, at, same = hashlib.sha256(), hashlib.sha256(), 0, True
+        for start in range(0, len(ids), PORTION):
+            names.update((" " if start else "").encode() + " ".join(map(own.names.__getitem__, ids[start : start + PORTION])).encode())
+        for part in own.decode_stream(ids):
+            back.update(part.encode())
+            same = same and text.startswith(part, at)
+            at += len(part)
+        return len(ids), names.hexdigest(), back.hexdigest(), same and at == len(text or "")
 
     columns = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(by_row(_DIGEST, row), columns)

@@ -94,3 +94,17 @@ def test_query_rows(spark, make_docs, corpus, known):
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
     assert bpe.round_trip(make_docs([]), PATH, public_tokenizers.PATTERN).collect() == []
     assert bpe.encode_column(make_docs(["a b"]), PATH, public_tokenizers.PATTERN).first().ids == known.encode_ordinary("a b")
+
+
+def test_the_query_decodes_through_the_state_machine(spark, make_docs, monkeypatch):
+    fed = []
+    feed = bpe.Utf8.feed
+    monkeypatch.setattr(bpe.Utf8, "feed", lambda self, data: fed.append(bytes(data)) or feed(self, data))
+    monkeypatch.setattr(bpe, "PORTION", 3)
+    own = bpe.codec(PATH, public_tokenizers.PATTERN)
+    text = "x😜é" * 50 + "日本 語 " * 20
+    ids = own.encode(text).tolist()
+    assert "".join(own.decode_stream(ids)) == text and len(fed) > 10
+    assert any(not x.isascii() and x.decode(errors="ignore").encode() != x for x in fed)  # portions end inside code points
+    monkeypatch.undo()
+    assert own.encode(text).tolist() == ids
