@@ -12,12 +12,15 @@ per partition and added up with a window over partitions.
 A null text counts as empty: one sequence of the end id alone. Repeated rows are
 items of their own. Null ids stay null. Extra columns are not read. Documents longer than the capacity
 are cut so that only their first piece may be short; a full piece is a bin.
+Ids are those of the ``tokenizers`` file, its added tokens included: texts that hold
+one go through that library, others through a faster one with the same vocabulary.
 An empty table gives no rows; among items of one length any order is as good.
 """
 
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -29,6 +32,7 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from korrel.llm.bpe import codec, read_ranks
 from korrel.llm.common import Scratch, pieces
@@ -47,8 +51,19 @@ def _library(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
 
 
+@functools.lru_cache(maxsize=2)
+def _added(path: str) -> tuple[Tokenizer, re.Pattern]:
+    """The file's own tokenizer, and a pattern of the tokens that it takes out of texts first."""
+    own = Tokenizer.from_file(path)
+    tokens = sorted(t.content for t in own.get_added_tokens_decoder().values())
+    return own, re.compile("|".join(map(re.escape, tokens)) or r"(?!)")
+
+
 def token_ids(text: str, path: str, pattern: str) -> np.ndarray:
-    """Ids of a text as little-endian unsigned 32-bit numbers, special tokens being ordinary text."""
+    """Ids of a text as little-endian unsigned 32-bit numbers, by the ``tokenizers`` file at ``path``."""
+    own, added = _added(path)
+    if added.search(text):
+        return np.array(own.encode(text, add_special_tokens=False).ids, dtype="<u4")
     if len(text) >= 20000 and _LONG_SPACE.search(text):
         return codec(path, pattern).encode(text)
     return np.asarray(_library(path, pattern).encode_to_numpy(text), dtype="<u4")
@@ -157,5 +172,6 @@ def pack(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY) ->
             bin_[shared], offset[shared] = places.find(length[shared], (before + k)[shared])
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(bin_), pa.array(offset)], schema=_PLACES)
 
-    ranked = items.join(before, ["part", "length"], "left").select("doc_id", "piece", "start", "length", "ids_crc32", "part", "k", F.coalesce("before", F.lit(0)).cast("long").alias("before"))
+    # One row for each partition and length: it grows with the partitions, so it is merged, never broadcast.
+    ranked = items.join(before.hint("merge"), ["part", "length"], "left").select("doc_id", "piece", "start", "length", "ids_crc32", "part", "k", F.coalesce("before", F.lit(0)).cast("long").alias("before"))
     return ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

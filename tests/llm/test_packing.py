@@ -9,14 +9,12 @@ from tokenizers import Tokenizer
 
 from korrel.llm import packing
 
-PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
 @pytest.fixture(scope="module")
 def known():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def held(bins, histogram, capacity):
@@ -89,8 +87,21 @@ def check(rows, texts, known):
     return len(by_sequence), [r.length for r in rows]
 
 
+def test_ids_of_the_added_token():
+    assert packing.token_ids("hello <|endoftext|> world", PATH, public_tokenizers.PATTERN).tolist() == [31373, 220, 50256, 995]
+    from korrel.llm.bpe import read_ranks
+
+    ranks = read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    assert {k: v for k, v in ranks.items() if k != b"<|endoftext|>"} == read_ranks(PATH)
+
+
+def test_the_places_are_merged_not_broadcast(spark, make_docs):
+    plan = packing.pack(make_docs(["a b c", "d"]), PATH, public_tokenizers.PATTERN)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_rows(spark, make_docs, corpus, known):
-    texts = dict(enumerate([*corpus, "<|endoftext|>", " " * 50_000 + "x"]))
+    texts = dict(enumerate([*corpus, "<|endoftext|>", "hello <|endoftext|> world", "a<|endoftext|><|endoftext|>\n b<|endoftext", " " * 50_000 + "x", " " * 50_000 + "x <|endoftext|>"]))
     docs = make_docs(list(texts.items())).repartition(5).withColumn("length", packing.F.lit("clash"))
     bins, lengths = check(packing.pack(docs, PATH, public_tokenizers.PATTERN).collect(), texts, known)
     assert bins <= best_fit(lengths, 1024) + 1
