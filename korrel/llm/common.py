@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from korrel.scratch import Scratch, shared_dir
 from korrel.ship import ensure_importable
 
-__all__ = ["Scratch", "by_row", "components", "documents", "pieces", "prepare", "shared_dir", "texts"]
+__all__ = ["Scratch", "by_row", "components", "documents", "look_up", "pieces", "prepare", "shared_dir", "texts"]
 
 
 #: Bytes that go to a Python worker at once; rows are whole texts, so a number of rows is no bound.
@@ -70,28 +70,52 @@ def by_row(schema: pa.Schema, row: Callable[..., tuple]) -> Callable:
     return run
 
 
-def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
+#: Rows of a key up to which it is never hot, and the number of hot keys that a broadcast may hold at most.
+HOT, MOST_HOT = 64, 1000
+
+
+def look_up(rows: DataFrame, key: str, table: DataFrame, of: str, value: str, n: int) -> DataFrame:
+    """``rows`` (n of them) with column ``value`` of ``table``, whose rows have different ``of``; null where it has none.
+
+    Keys of more than ``max(HOT, n / 1000)`` rows, of which there are at most 1000 or
+    ``n / HOT``, are looked up by a broadcast, so that no task gets all rows of a key.
+    """
+    most = max(HOT, n // MOST_HOT)
+    hot = rows.groupBy(F.col(key).alias("korrel_hot")).agg(F.count("*").alias("korrel_n")).filter(F.col("korrel_n") > most).select("korrel_hot")
+    entries = table.select(F.col(of).alias("korrel_of"), F.col(value).alias(value))
+    hot_entries = hot.join(entries, F.col("korrel_hot") == F.col("korrel_of"), "left").select("korrel_hot", value)
+    marked = rows.join(F.broadcast(hot_entries), F.col(key) == F.col("korrel_hot"), "left")
+    cold = marked.filter("korrel_hot is null").drop("korrel_hot", value).join(entries, F.col(key) == F.col("korrel_of"), "left").drop("korrel_of")
+    return cold.unionByName(marked.filter("korrel_hot is not null").drop("korrel_hot"))
+
+
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root): the least node reachable, for each node of ``edges(a, b)`` that is not its own root.
 
-    Alternating large-star and small-star steps: each round points every node at
-    the least neighbour of a neighbour. A hot node is aggregated map-side and then
-    joined, so it is never gathered in one task. Each round is written out.
+    Alternating large-star and small-star steps until nothing changes: the first
+    points a node's greater neighbours, the second its lesser ones, at the least of
+    them. A node that very many point at is looked up by a broadcast. Each round is
+    written out.
     """
     now = scratch.keep(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-    mark = None
-    for _ in range(rounds):
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
+    mark = _mark(now)
+    while True:
+        # Large star: an edge (a, b) with a > b points a at the least neighbour of b.
+        least = scratch.keep(now.groupBy("a").agg(F.min("b").alias("m")), "least")
+        large = look_up(now, "b", least, "a", "m", mark[0]).select("a", F.coalesce("m", "b").alias("b")).distinct()
+        # Small star: the lesser neighbours of a point at the least of them.
+        large = scratch.keep(large, "large")
+        least_of = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = look_up(large, "a", least_of, "a", "m", mark[0]).select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
         after = scratch.keep(small, "edges")
-        scratch.drop(now)
-        now = after
-        new = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if new == mark:
-            break
-        mark = new
-    else:
-        raise RuntimeError("components did not converge")
-    return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
+        for table in (now, least, large):
+            scratch.drop(table)
+        now, before = after, mark
+        mark = _mark(now)
+        if mark == before:
+            return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
+
+
+def _mark(edges: DataFrame) -> tuple:
+    n, check = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    return n, check

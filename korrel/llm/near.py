@@ -1,11 +1,18 @@
-"""One document of each group of near copies, by the words they share.
+"""SimHash near-dedup as a stage: one document of each group of near copies.
 
 Two documents are linked if the Jaccard similarity of their sets of five-word
-shingles is ``SIMILAR`` or more; of each component one stays. Candidates come
-from min-hash signatures: ``BANDS`` bands of ``ROWS`` minima, a pair being a
+shingles is ``SIMILAR`` or more; of each component one stays. Candidates come from
+two searches, and links are decided by the sets themselves.
+
+The first is the operator's own (see ``simhash``): fingerprints, here of the five-word
+shingle sets, are replicated to the anchors of a covering code and compared there.
+It finds what is within three bits, the closest copies. At a similarity of 0.8 two
+fingerprints differ in 9.7 bits of 64 on average, in up to 19 for one pair in a
+thousand, and no covering code serves a radius of 19: each half would have to go to
+every anchor within 10 bits, over three million. So the second search, min-hash
+signatures, finds the rest: ``BANDS`` bands of ``ROWS`` minima, a pair being a
 candidate if a band is equal. A pair at 0.8 is missed with chance
-(1 - 0.8 ** 5) ** 40, about one in eight million, a closer one less often. Links
-are decided by the sets themselves.
+(1 - 0.8 ** 5) ** 40, about one in eight million, a closer one less often.
 
 Documents with the same set are one node. A group of nodes with an equal band is
 first linked in chains, each node against the one before it, in a new order each
@@ -28,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from korrel.llm.common import Scratch, components, pieces
-from korrel.llm.simhash import keep_rows, rows_of
+from korrel.llm.simhash import keep_rows, links, majority, rows_of
 from korrel.llm.windows import gram_hashes, mix
 
 SHINGLE = 5
@@ -38,10 +45,11 @@ BANDS, ROWS = 40, 5
 CHAINS = 2
 _SEED = 42
 _CHUNK = 512
+_PART = 1 << 16
 _XOR = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
 _TIMES = mix(np.arange(1001, BANDS * ROWS + 1001, dtype=np.uint64)) | np.uint64(1)
 
-_NODES = pa.schema([("did", pa.int64()), ("t", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
+_NODES = pa.schema([("did", pa.int64()), ("t", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))])
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -87,6 +95,7 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array([xxhash.xxh64_intdigest((x or "").encode(), _SEED) for x in part.column("text").to_pylist()], pa.uint64()).view(pa.int64()),
                     pa.array(keys, pa.uint64()).view(pa.int64()),
                     pa.array([len(x) for x in sets], pa.int64()),
+                    pa.array([majority([x[at : at + _PART] for at in range(0, len(x), _PART)]) for x in sets], pa.uint64()).view(pa.int64()),
                     pa.array([bands(x).view(np.int64) for x in sets], pa.list_(pa.int64())),
                 ],
                 schema=_NODES,
@@ -105,14 +114,29 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(close, pa.bool_()))
 
 
+def _close(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of nodes that the anchors bring together: each fingerprint's nodes in a
+    chain, and the first nodes of linked fingerprints."""
+    chain = Window.partitionBy("fp").orderBy("node")
+    same = nodes.select(F.col("node").alias("a"), F.lag("node").over(chain).alias("b")).dropna()
+    first = scratch.keep(nodes.groupBy("fp").agg(F.min("node").alias("node")), "fingerprints")
+    found = links(first, scratch)
+    for end in ("a", "b"):
+        found = found.join(first.select(F.col("fp").alias(end), F.col("node").alias(f"node_{end}")), end)
+    return scratch.keep(same.unionByName(found.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))), "close")
+
+
 def _roots(nodes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame | None:
-    """(node, root) of each node that is not its own root; none if no two nodes share a band."""
+    """(node, root) of each node that is not its own root; none if no two nodes may be alike."""
+    size = nodes.select("node", "n")
+    close = _close(nodes.select("node", "fp"), scratch)
     keys = nodes.select("node", "n", F.explode("bands").alias("key"))
     sharing = F.count("*").over(Window.partitionBy("key"))
     members = scratch.keep(keys.withColumn("sharing", sharing).filter("sharing > 1").drop("sharing"), "members")
-    if members.isEmpty():
+    if members.isEmpty() and close.isEmpty():
         return None
-    some = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("least.did").alias("did"), F.col("least.t").alias("t"))
+    asked = members.select("node").unionByName(close.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    some = nodes.join(asked, "node", "left_semi").select("node", F.col("least.did").alias("did"), F.col("least.t").alias("t"))
     found = rows_of(docs).join(some, ["did", "t"]).select("node", "text")
     sets = scratch.keep(found.mapInArrow(_sets, "node long, hashes binary").dropDuplicates(["node"]), "sets")
     scratch.release()
@@ -129,6 +153,10 @@ def _roots(nodes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame | N
         else:
             pairs = live.join(live.select("key", *(F.col(c).alias(f"other_{c}") for c in ("node", "n", "root"))), "key")
         # Sets whose sizes differ by more can't be similar; one less allows for rounding.
+        if roots is None:
+            sizes = close.join(size.toDF("a", "n"), "a").join(size.toDF("b", "other_n"), "b")
+            sizes = sizes.select(F.col("a").alias("node"), "n", F.col("a").alias("root"), F.col("b").alias("other_node"), "other_n", F.col("b").alias("other_root"))
+            pairs = pairs.unionByName(sizes)
         pairs = pairs.filter("root <> other_root").filter(F.least("n", "other_n") + 1 >= SIMILAR * F.greatest("n", "other_n"))
         pairs = pairs.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
         pairs = scratch.keep(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
@@ -150,8 +178,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     id, null ids last, and of equal ids the least hash of the text."""
     scratch = Scratch(docs.sparkSession)
     rows = rows_of(docs)
-    found = scratch.keep(rows.select("did", "text").mapInArrow(_nodes, "did long, t long, node long, n long, bands array<long>"), "nodes")
-    nodes = scratch.keep(found.groupBy("node").agg(F.min(F.struct("did", "t")).alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")), "distinct")
+    found = scratch.keep(rows.select("did", "text").mapInArrow(_nodes, "did long, t long, node long, n long, fp long, bands array<long>"), "nodes")
+    nodes = scratch.keep(found.groupBy("node").agg(F.min(F.struct("did", "t")).alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "distinct")
     repeated = not found.groupBy("did", "t").count().filter("count > 1").isEmpty()
     scratch.drop(found)
     roots = _roots(nodes, docs, scratch)

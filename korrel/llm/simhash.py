@@ -11,8 +11,9 @@ all others. No pair is missed.
 
 Equal fingerprints are one node, so a group of copies costs one row. Per anchor
 only a spanning forest of the links leaves the task, never all pairs; an anchor
-with very many members is first divided by four 16-bit blocks, one of which any
-linked pair shares.
+with many members is first divided by four 16-bit blocks, one of which any linked
+pair shares. If it has very many, its rows pass through to a second round, dealt by
+anchor and block, so that several tasks compare them.
 
 Null and empty texts have fingerprint 0 and are linked like others. Repeated rows
 get a row each. Null ids stay null and take the component of their fingerprint,
@@ -22,7 +23,8 @@ read. An empty table gives no rows; a text of any length is hashed whole, in chu
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,18 +32,22 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from korrel.llm.common import Scratch, by_row, components
+from korrel.llm.common import Scratch, by_row, components, look_up
+from korrel.llm.windows import mix
 
 DISTANCE = 3
 SHINGLE = 3
 SEED = 42
 #: Members of one anchor above which they are divided by 16-bit blocks first.
 DIVIDE = 2048
+#: Members of one anchor from which other tasks compare them, by anchor and block.
+DEFER = 1 << 16
 _CHUNK = 1 << 16
 
 _FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("t", pa.int64())])
 _REPLICAS = pa.schema([("anchor", pa.int64()), ("fp", pa.int64())])
-_EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+#: Links (block -1), or rows for the second round: a fingerprint and the hash of an anchor and a block.
+_EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("block", pa.int32())])
 
 
 def simhash(text: str | None) -> int:
@@ -56,11 +62,21 @@ def simhash(text: str | None) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = len(words) - SHINGLE + 1
-    counts = np.zeros(64, dtype=np.int64)
-    for at in range(0, n, _CHUNK):
-        spans = zip(starts[at : min(at + _CHUNK, n)].tolist(), ends[at + SHINGLE - 1 : at + _CHUNK + SHINGLE - 1].tolist(), strict=False)
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in spans], dtype="<u8")
+
+    def hashes() -> Iterator[np.ndarray]:
+        for at in range(0, n, _CHUNK):
+            spans = zip(starts[at : min(at + _CHUNK, n)].tolist(), ends[at + SHINGLE - 1 : at + _CHUNK + SHINGLE - 1].tolist(), strict=False)
+            yield np.array([digest(joined[a:b], SEED) for a, b in spans], dtype="<u8")
+
+    return majority(hashes())
+
+
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """The bits that more than half of the unsigned 64-bit hashes have."""
+    counts, n = np.zeros(64, dtype=np.int64), 0
+    for hashes in parts:
         counts += np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+        n += len(hashes)
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
@@ -172,53 +188,80 @@ class _Union:
             self.up[max(a, b)] = min(a, b)
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], defer: bool = True) -> Iterator[pa.RecordBatch]:
     """Links of sorted (anchor, fp) rows; a spanning forest of the whole task's."""
     union = _Union()
-    kept_keys, kept = [], []
-
-    def groups(last: bool) -> None:
-        nonlocal kept_keys, kept
-        keys, fps = np.concatenate(kept_keys), np.concatenate(kept)
-        end = len(keys) if last else int(np.searchsorted(keys, keys[-1]))
-        kept_keys, kept = ([], []) if last else ([keys[end:]], [fps[end:]])
-        keys, fps = keys[:end], fps[:end]
-        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if end else np.empty(0, dtype=np.int64)
-        sizes = np.diff(np.append(starts, end))
-        pair = starts[sizes == 2]
-        close = np.bitwise_count(fps[pair] ^ fps[pair + 1]) <= DISTANCE
-        for a, b in zip(fps[pair[close]].tolist(), fps[pair[close] + 1].tolist(), strict=True):
-            union.join(a, b)
-        for start, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-            for a, b in forest(fps[start : start + size]):
+    key, members, held = None, [], 0  # the anchor whose rows still come
+
+    def close() -> None:
+        if members and held > 1:
+            for a, b in forest(np.concatenate(members)):
                 union.join(a, b)
 
-    rows = 0
     for batch in batches:
-        if batch.num_rows:
-            kept_keys.append(batch.column(0).to_numpy())
-            kept.append(batch.column(1).to_numpy().view(np.uint64))
-            rows += batch.num_rows
-            if rows > 500_000:
-                groups(False)
-                rows = len(kept[0]) if kept else 0
-    if kept:
-        groups(True)
+        if not batch.num_rows:
+            continue
+        keys, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        sizes = np.diff(np.append(starts, len(keys)))
+        if keys[0] != key:
+            close()
+            key, members, held = keys[0], [], 0
+        if len(starts) > 1:  # the open anchor ends, others lie between, the last one stays open
+            if held <= DEFER or not defer:
+                members.append(fps[: sizes[0]])
+                held += int(sizes[0])
+                close()
+            else:
+                yield _deferred(key, fps[: sizes[0]])
+            inner, lengths = starts[1:-1], sizes[1:-1]
+            pair = inner[lengths == 2]
+            close_by = np.bitwise_count(fps[pair] ^ fps[pair + 1]) <= DISTANCE
+            for a, b in zip(fps[pair[close_by]].tolist(), fps[pair[close_by] + 1].tolist(), strict=True):
+                union.join(a, b)
+            for start, size in zip(inner[lengths > 2].tolist(), lengths[lengths > 2].tolist(), strict=True):
+                for a, b in forest(fps[start : start + size]):
+                    union.join(a, b)
+            key, members, held = keys[-1], [], 0
+        rest = fps[starts[-1] :]
+        if defer and held + len(rest) > DEFER:
+            yield from (_deferred(key, x) for x in (*members, rest))
+            members = []
+        else:
+            members.append(rest)
+        held += len(rest)
+    if held <= DEFER or not defer:
+        close()
     found = [(x, r) for x in list(union.up) if (r := union.root(x)) != x]
     for at in range(0, len(found), 1 << 16):
         ends = np.array(found[at : at + (1 << 16)], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], schema=_EDGES)
+        yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1]), pa.array(np.full(len(ends), -1, dtype=np.int32))], schema=_EDGES)
+
+
+def _deferred(anchor: int, fps: np.ndarray) -> pa.RecordBatch:
+    """Rows of an anchor for the second round, one for each 16-bit block."""
+    blocks = np.repeat(np.arange(4, dtype=np.uint64), len(fps))
+    every = np.tile(fps, 4)
+    value = every >> blocks * np.uint64(16) & np.uint64(0xFFFF)
+    keys = mix(mix(np.full(len(every), anchor, dtype=np.int64).view(np.uint64)) + (value << np.uint64(2) | blocks))
+    return pa.RecordBatch.from_arrays([pa.array(every.view(np.int64)), pa.array(keys.view(np.int64)), pa.array(blocks.astype(np.int32))], schema=_EDGES)
 
 
-def links(fps: DataFrame) -> DataFrame:
+def links(fps: DataFrame, scratch: Scratch) -> DataFrame:
     """Links (a, b) that connect the distinct values of column ``fp`` as all links would."""
     replicas = fps.select("fp").mapInArrow(_replicate, "anchor long, fp long")
-    return replicas.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare, "a long, b long")
+    found = replicas.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare, "a long, b long, block int")
+    found = scratch.keep(found, "links")
+    edges, rest = found.filter("block < 0").select("a", "b"), found.filter("block >= 0").select(F.col("b").alias("key"), F.col("a").alias("fp"))
+    if rest.isEmpty():
+        return edges
+    again = rest.repartition("key").sortWithinPartitions("key").mapInArrow(functools.partial(_compare, defer=False), "a long, b long, block int")
+    return edges.unionByName(again.select("a", "b"))
 
 
 def _roots(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """``nodes`` with the root of each one's component."""
-    roots = components(links(nodes), scratch)
+    roots = components(links(nodes, scratch), scratch)
     return nodes.join(roots, nodes.fp == roots.node, "left").drop("node").withColumn("root", F.coalesce("root", "fp"))
 
 
@@ -232,9 +275,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = scratch.keep(fingerprints(docs).drop("t"), "fingerprints")
     nodes = scratch.keep(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies")), "nodes")
     named = scratch.keep(_roots(nodes, scratch), "named")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = scratch.keep(named.join(least, "root").select("fp", "component_id", "n_copies"), "labels")
-    return rows.join(labels, "fp").select("doc_id", "fp", "component_id", "n_copies")
+    least = scratch.keep(named.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    labels = look_up(named, "root", least, "root", "component_id", named.count()).select("fp", F.struct("component_id", "n_copies").alias("label"))
+    labels = scratch.keep(labels, "labels")
+    return look_up(rows, "fp", labels, "fp", "label", rows.count()).select("doc_id", "fp", "label.*")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -106,3 +106,48 @@ def test_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1000 + i) for i in range(50)], "a long, b long")
     got = {r.node: r.root for r in components(edges, Scratch(spark)).collect()}
     assert got == {**dict.fromkeys(range(1, n + 1), 0), **dict.fromkeys(range(1001, 1050), 1000)}
+
+
+def test_a_hot_anchor_is_dealt_anew(spark, monkeypatch):
+    """Rows beyond ``DEFER`` go to a second round, which joins what all pairs join."""
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    base = rng.getrandbits(64)
+    fps = sorted({base ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, 6))) & (1 << 64) - 1 for _ in range(600)})
+    want = slow_components(fps)
+    at = {x: i for i, x in enumerate(fps)}
+    signed = np.array(fps, dtype=np.uint64).view(np.int64)
+    table = pa.RecordBatch.from_arrays([pa.array([0, 1] + [7] * len(fps) + [9, 9]), pa.array(np.concatenate([[5, 6], signed, signed[:2]]))], schema=simhash._REPLICAS)
+    for size in (1, 50, 10_000):
+        for defer in (10, 100, 1 << 20):
+            monkeypatch.setattr(simhash, "DEFER", defer)
+            rows = [tuple(r.values()) for b in simhash._compare(table.slice(i, size) for i in range(0, table.num_rows, size)) for r in b.to_pylist()]
+            again = sorted((b, a) for a, b, block in rows if block >= 0)
+            assert (len(again) == 4 * len(fps)) == (defer < len(fps) and size < len(fps))  # a group within one batch is small
+            edges = [(a, b) for a, b, block in rows if block < 0]
+            if again:
+                second = pa.RecordBatch.from_arrays([pa.array([k for k, _ in again]), pa.array([x for _, x in again])], schema=simhash._REPLICAS)
+                edges += [(r["a"], r["b"]) for b in simhash._compare(iter([second]), defer=False) for r in b.to_pylist()]
+            union = simhash._Union()
+            for a, b in edges:
+                union.join(at[a % (1 << 64)], at[b % (1 << 64)])
+            assert [union.root(i) for i in range(len(fps))] == want
+
+
+def test_links_join_what_is_close(spark):
+    from korrel.llm.common import Scratch
+
+    fps = spark.createDataFrame([(x,) for x in range(64)], "fp long")
+    got = simhash.components(simhash.links(fps, Scratch(spark)), Scratch(spark)).collect()
+    assert {r.node for r in got} == set(range(1, 64)) and {r.root for r in got} == {0}
+
+
+def test_look_up_of_hot_keys(spark, monkeypatch):
+    from korrel.llm import common
+
+    rows = spark.range(3000).selectExpr("id", "case when id % 3 = 0 then 7 when id % 3 = 1 then 8 else id end as k", "id as korrel_of2")
+    table = spark.range(10, 2000).selectExpr("id as of", "id * 2 as value").unionByName(spark.createDataFrame([(7, 14)], "of long, value long"))
+    got = {r.id: (r.k, r.value) for r in common.look_up(rows, "k", table, "of", "value", 3000).collect()}
+    want = {i: (k, 2 * k if k == 7 or 10 <= k < 2000 else None) for i in range(3000) for k in [7 if i % 3 == 0 else 8 if i % 3 == 1 else i]}
+    assert got == want
