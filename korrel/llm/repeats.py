@@ -1,7 +1,10 @@
 """Common ground of the two exact repeat removers: one copy of each text, kept in
 buckets by document, and the sampled positions whose strings occur twice.
 
-Documents are ordered by id, a null id last. A text that equals an earlier
+Documents are ordered by id, null ids last, in the order of a hash of the text. Their
+place in that order is (``did``, ``v``): ``did`` is the id without its last bit, for a
+null id a number from the text's hash above all ids, so that texts without an id are
+spread over the buckets too; ``v`` numbers the texts of one ``did``. A text that equals an earlier
 document's as a whole is set aside first: every window of it starts earlier, so
 the copy is known without comparing, and large groups of copies cost one row
 each. Rows with equal id and text are one document and get the same result; rows
@@ -14,19 +17,19 @@ their names.
 from __future__ import annotations
 
 import contextlib
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from korrel.llm.common import Scratch, pieces, texts
 from korrel.llm.windows import anchors, mix
 
 _LAST = (1 << 63) - 1
+_HALF = 1 << 62
 #: Sampled positions that a task groups at once before they are shuffled.
 HELD = 1 << 19
 #: ``at`` packs a text's number, a place and whether the task has the string many times.
@@ -37,40 +40,45 @@ def byte_units(text: str) -> np.ndarray:
     return np.frombuffer(text.encode(), dtype=np.uint8)
 
 
-def word_units(text: str) -> np.ndarray:
-    """A hash of each word, words being runs of other than ASCII white space."""
-    found = text.encode().split()
+def word_units(found: list[bytes]) -> np.ndarray:
+    """A hash of each word."""
     return np.fromiter(map(xxhash.xxh3_64_intdigest, found), dtype=np.uint64, count=len(found))
 
 
 class Corpus:
-    """``rows``: (row, did, t1, t2) of every row, ``row`` being its columns but the text.
-    ``texts``: (did, v, t1, t2, text) of every distinct text at its first document."""
+    """``rows``: (row, id, t1, t2) of every row, ``row`` being its columns but the text.
+    ``texts``: (did, v, id, t1, t2, text) of every distinct text at its first document."""
 
     def __init__(self, docs: DataFrame, scratch: Scratch):
         self.spark, self.scratch = docs.sparkSession, scratch
         text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-        did = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
-        keys = [did.alias("did"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
+        own_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
+        keys = [own_id.alias("id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
         others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
         self.rows = scratch.keep(docs.select(F.struct(*others).alias("row"), *keys), "rows")
-        firsts = self.rows.groupBy("t1", "t2").agg(F.min("did").alias("did"))
-        firsts = firsts.withColumn("v", F.row_number().over(Window.partitionBy("did").orderBy("t1", "t2")) - 1)
-        firsts = firsts.select(F.col("did").alias("f"), F.col("t1").alias("f1"), F.col("t2").alias("f2"), "v")
-        own = docs.select(*keys, text.alias("text")).join(firsts, F.col("did") == F.col("f")).filter("t1 = f1 and t2 = f2").select("did", "v", "t1", "t2", "text")
+        firsts = self.rows.groupBy("t1", "t2").agg(F.min("id").alias("id")).withColumn("did", _did())
+        firsts = firsts.withColumn("v", F.row_number().over(Window.partitionBy("did").orderBy("id", "t1", "t2")) - 1)
+        firsts = firsts.select(F.col("did").alias("fd"), F.col("id").alias("f"), F.col("t1").alias("f1"), F.col("t2").alias("f2"), "v")
+        own = docs.select(*keys, text.alias("text")).withColumn("did", _did())
+        own = own.join(firsts, F.col("did") == F.col("fd")).filter("id = f and t1 = f1 and t2 = f2").select("did", "v", "id", "t1", "t2", "text")
         self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        self.name = f"korrel_texts_{uuid.uuid4().hex}"
         own = own.repartition(self.buckets, "did")
-        if not self.rows.groupBy("did", "t1", "t2").count().filter("count > 1").isEmpty():
+        if not self.rows.groupBy("id", "t1", "t2").count().filter("count > 1").isEmpty():
             own = own.dropDuplicates(["did", "v"])
-        own.write.bucketBy(self.buckets, "did").sortBy("did", "v").saveAsTable(self.name)
+        self.name = scratch.bucketed(own, "texts", self.buckets, ["did"], ["did", "v"])
 
     @property
     def texts(self) -> DataFrame:
         return self.spark.table(self.name)
 
     def close(self) -> None:
-        self.spark.sql(f"drop table if exists {self.name}")
+        self.scratch.drop_table(self.name)
+
+
+def _did() -> Column:
+    """Where a document (id, t1) stands in the order, ``_LAST`` being no id."""
+    hashed = F.col("t1").bitwiseAND(F.lit(_HALF - 1)) + F.lit(_HALF)
+    return F.when(F.col("id") == _LAST, hashed).otherwise(F.shiftright("id", 1))
 
 
 @contextlib.contextmanager
@@ -235,9 +243,9 @@ def outcome(own: Corpus, removed: DataFrame, finish: Callable, span: int, schema
                 for v, text, (vs, starts, ends) in zip(part.column("v").to_pylist(), texts(part), positions(part, "cuts", "v", "start", "end"), strict=True):
                     mine = vs == v
                     rows.append(finish(text, *merged(starts[mine].astype(np.int64), ends[mine].astype(np.int64))))
-                yield pa.RecordBatch.from_arrays([part.column("t1"), part.column("t2"), part.column("did"), *(pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), list(schema)[3:], strict=True))], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column("t1"), part.column("t2"), part.column("id"), *(pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), list(schema)[3:], strict=True))], schema=schema)
 
     cuts = removed.groupBy("did").agg(F.collect_list(F.struct("v", "start", "end")).alias("cuts"))
-    found = own.texts.join(cuts, "did", "left").select("t1", "t2", "did", "v", "text", "cuts").mapInArrow(run, columns)
-    found = found.withColumnRenamed("did", "first")
+    found = own.texts.join(cuts, "did", "left").select("t1", "t2", "id", "v", "text", "cuts").mapInArrow(run, columns)
+    found = found.withColumnRenamed("id", "first")
     return own.rows.join(found, ["t1", "t2"], "left")

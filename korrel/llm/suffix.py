@@ -187,7 +187,7 @@ def kept(data: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
     return b"".join((*out, data[at:]))
 
 
-_OUT = pa.schema([("t1", pa.int64()), ("t2", pa.int64()), ("did", pa.int64()), ("n", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+_OUT = pa.schema([("t1", pa.int64()), ("t2", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
 
 def remove_repeats(docs: DataFrame, span: int = SPAN, with_bytes: bool = False) -> DataFrame:
@@ -204,9 +204,9 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, with_bytes: bool = False)
     with corpus(docs) as own:
         cuts = own.scratch.keep(intervals(own, span), "cuts")
         own.scratch.release()
-        columns = "t1 long, t2 long, did long, n long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+        columns = "t1 long, t2 long, id long, n long, n_removed long, n_spans long, kept_sha256 string, kept binary"
         found = outcome(own, cuts, finish, span, _OUT, columns)
-        copy = (F.col("did") != F.col("first")) & (F.col("n") >= span)
+        copy = (F.col("id") != F.col("first")) & (F.col("n") >= span)
         out = found.select(
             "row",
             F.col("n").alias("n_bytes"),
