@@ -46,6 +46,7 @@ def test_every_sentence_is_in_normal_form(spark, make_docs):
     got = licences.scan(make_docs([s for s, _ in every])).collect()
     assert [r.sentence_ids for r in sorted(got, key=lambda r: r.doc_id)] == [i for _, i in every]
     assert {i for _, rule in licences.RULES for i in rule} <= licences.SENTENCES.keys()
+    assert all(c.isalpha() for c in licences.CUES) and all(any(c in s for c in licences.CUES) for s, _ in every)
 
 
 MIT = """MIT License
@@ -98,7 +99,35 @@ You may obtain a copy of the License at
     http://www.apache.org/licenses/LICENSE-2.0
 
 Unless required by applicable law"""
-WRAPPED = {MIT: "MIT", ISC: "ISC", BSD: "BSD-2-Clause", GPL: "GPL-3.0-or-later", MPL: "MPL-2.0", APACHE: "Apache-2.0-notice"}
+LGPL = GPL.replace("This program", "This library").replace("GNU General", "GNU Lesser General").replace("version 3", "version 2.1")
+AGPL = GPL.replace("the GNU General", "the GNU Affero General").replace("\nGNU General", "\nGNU Affero General")
+GPL2 = GPL.replace("version 3", "version 2").replace("program is free software:", "program is free software;")
+EPL = """This program and the accompanying materials are made available under the
+terms of the Eclipse Public License 2.0 which is available at
+https://www.eclipse.org/legal/epl-2.0."""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.
+"""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+"""
+BSD3 = BSD + """
+3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software without
+   specific prior written permission.
+"""
+BOTH = f"{BSD}\nReleased under the MIT License.\n\n{BSD3}"
+TWICE = f"{BSD3}\n{BSD3}"
+WRAPPED = {LGPL: "LGPL-2.1-or-later", AGPL: "AGPL-3.0-or-later", GPL2: "GPL-2.0-or-later", EPL: "EPL-2.0", UNLICENSE: "Unlicense", ZLIB: "Zlib", BSD3: "BSD-3-Clause", TWICE: "BSD-3-Clause", BOTH: "BSD-2-Clause,BSD-3-Clause,MIT", MIT: "MIT", ISC: "ISC", BSD: "BSD-2-Clause", GPL: "GPL-3.0-or-later", MPL: "MPL-2.0", APACHE: "Apache-2.0-notice"}
 
 
 @pytest.mark.parametrize("mark", ["", "# ", "// ", " * ", "-- "])
@@ -107,3 +136,13 @@ def test_wrapped_notices(spark, make_docs, mark):
     texts += [t.replace("\n", "\r\n") for t in texts] + ["int x\n" * 2000 + "\n".join(t.split("\n")) for t in WRAPPED]
     got = sorted(licences.scan(make_docs(texts)).collect(), key=lambda r: r.doc_id)
     assert [r.licences for r in got] == [*WRAPPED.values()] * 3
+
+
+@pytest.mark.parametrize("text,want", [("MIT License\n\nCopyright (c) A", ""), ("Licensed under the\nMIT License.", "MIT"), (" ".join(MIT.split()), "MIT"), (" ".join(BSD3.split()), "BSD-3-Clause"), (" ".join(GPL.split()), "GPL-3.0-or-later")])
+def test_other_forms(make_docs, text, want):
+    assert licences.scan(make_docs([text])).first().licences == want
+
+
+def test_very_long_text(make_docs):
+    text = "word " * 400_000 + ". Released under the MIT License.\n" + "x; " * 100_000
+    assert licences.scan(make_docs([text])).first().licences == "MIT"
