@@ -6,8 +6,12 @@ other tokens are clean. Word counts cover all training documents (one row per
 distinct text, so copies count once, and near copies, toxic or not, together about
 once: each counts by one over the size of its family); a word enters the lexicon if
 a Chernoff bound on its count leaves less than about one chance word in the whole
-vocabulary, all such words whatever their number. The field has two states, one weight per lexicon word, one for all
-other words, and transitions. Its weights are fitted on at most ``SAMPLE`` whole
+vocabulary, all such words whatever their number. Beginnings of words, ``PREFIXES``
+letters long, are counted and enter like words, so that forms of a toxic word that
+training has not seen are found by what they begin with; one needs that evidence from
+other words than its most common one. A word that several entries
+fit counts as the most evident of them. The field has two states, one weight per
+lexicon entry, one for all other words, and transitions. Its weights are fitted on at most ``SAMPLE`` whole
 documents, half of them toxic. Between lexicon words the tokens are alike, so a
 gap of any length is one closed-form matrix power: forward and backward passes
 are exact over whole texts and cost only what the lexicon words cost.
@@ -26,10 +30,11 @@ rows; texts of any length are tagged whole.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -44,6 +49,8 @@ from korrel.llm.near import minima, shingles
 SAMPLE = 4000
 #: Least odds ratio, of toxic against other documents, of a word in the lexicon.
 ODDS = 5.0
+#: The same bound for the evidence of a beginning's other words: a chance of one in twenty, as one entry is tested.
+GENERAL = math.log(20)
 #: A document's family: those that share this many of so many min-hashes of its three-word shingles.
 AGREE, MINIMA, SHINGLE = 3, 8, 3
 #: What a document counts that has no near copy; whole numbers, so that sums keep to no order.
@@ -52,9 +59,32 @@ _UNIT = 1 << 20
 THRESHOLD = 0.7
 #: Words counted by a task before it hands the counts on.
 _HELD = 300_000
+#: Letters of the beginnings of words that are counted beside whole words.
+PREFIXES = (3, 4, 5, 6)
+#: Words whose entry a worker remembers.
+_REMEMBERED = 1_000_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def entries(words: Iterable[str]) -> set[str]:
+    """Words and the beginnings of longer ones, which end with a star."""
+    words = set(words)
+    return words.union(*([w[:k] + "*" for w in words if len(w) > k] for k in PREFIXES))
+
+
+class _Numbers(dict):
+    """The lexicon entry of each word, the most evident of those that fit; -1 if none does."""
+
+    def __init__(self, lexicon: dict[str, int]):
+        self.lexicon = lexicon
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= _REMEMBERED:
+            self.clear()
+        self[word] = number = min((self.lexicon[x] for x in entries([word]) if x in self.lexicon), default=-1)
+        return number
+
+
 def folded(text: str) -> tuple[str, list[int] | None]:
     """Lower case, and the original place of each character if lengths differ."""
     low = text.lower()
@@ -75,6 +105,13 @@ class Field:
     slope: float = 0.0
     level: float = -20.0
 
+    @functools.cached_property
+    def numbers(self) -> _Numbers:
+        return _Numbers(self.words)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "numbers"}
+
     def score(self, toxic_tokens: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * np.log1p(toxic_tokens) + self.level, -40, 40)))
 
@@ -136,18 +173,11 @@ def _padded(found: list[tuple[list[int], list[int]]], weights: np.ndarray) -> tu
     return gaps, words, np.where(words >= 0, weights[words] if len(weights) else 0.0, np.nan)
 
 
-def sequence(text: str, words: dict[str, int]) -> tuple[list[int], list[int]]:
-    """A text's lexicon words and the numbers of other words around them."""
-    gaps, hot, gap = [], [], 0
-    for word in _WORD.findall(folded(text)[0]):
-        number = words.get(word)
-        if number is None:
-            gap += 1
-        else:
-            gaps.append(gap)
-            hot.append(number)
-            gap = 0
-    return [*gaps, gap], hot
+def sequence(words: list[str], numbers: _Numbers) -> tuple[list[int], list[int]]:
+    """The lexicon entries of a text's words and the numbers of other words around them."""
+    found = np.fromiter(map(numbers.__getitem__, words), dtype=np.int64, count=len(words))
+    at = np.flatnonzero(found >= 0)
+    return (np.diff(np.concatenate(([-1], at, [len(words)]))) - 1).tolist(), found[at].tolist()
 
 
 def fit(samples: list[tuple[int, list[int], list[int]]], start: np.ndarray, share: float, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, float, float]:
@@ -233,7 +263,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in pieces(batch):
             for text, toxic, weight in zip(texts(part), part.column("toxic").to_pylist(), part.column("weight").to_pylist(), strict=True):
-                held[int(toxic == 1)].update(dict.fromkeys(_WORD.findall(folded(text)[0]), weight))
+                held[int(toxic == 1)].update(dict.fromkeys(entries(_WORD.findall(folded(text)[0])), weight))
                 if len(held[0]) + len(held[1]) > _HELD:
                     yield from hand_on()
     yield from hand_on()
@@ -256,6 +286,23 @@ def _weighted(chosen: DataFrame) -> DataFrame:
     return chosen.join(sizes, "h", "left").select("doc_id", "toxic", F.greatest(F.lit(1), F.round(_UNIT / size)).cast("long").alias("weight"))
 
 
+def _general(counts: DataFrame, found: DataFrame, evident: float) -> list:
+    """The entries ``found``, of beginnings only those with enough evidence beside their most common word's."""
+    whole = counts.filter(~F.endswith("word", F.lit("*"))).select("word", "n1")
+    begins = F.array(*(F.when(F.length("word") > k, F.concat(F.substring("word", 1, k), F.lit("*"))) for k in PREFIXES))
+    each = whole.select(F.explode(F.array_compact(begins)).alias("word"), F.col("n1").alias("top"))
+    tops = each.join(found.filter(F.endswith("word", F.lit("*"))).select("word"), "word").groupBy("word").agg(F.max("top").alias("top"))
+    out = []
+    for r in found.join(tops, "word", "left").collect():
+        if r.top is not None:
+            n1, n0 = r.n1 - r.top, r.n - r.n1
+            n = n1 + n0
+            if n1 * (1 - evident) <= ODDS * evident * n0 or n1 <= 0 or n1 * math.log(n1 / n / evident) + (n0 * math.log(n0 / n / (1 - evident)) if n0 > 0 else 0) <= GENERAL:
+                continue
+        out.append(r)
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Field:
     """A field from documents (doc_id, text) and labels (doc_id, toxic)."""
     scratch = Scratch(docs.sparkSession)
@@ -283,16 +330,17 @@ def train(docs: DataFrame, labels: DataFrame) -> Field:
     n0 = F.col("n") - F.col("n1")
     gain = F.col("n1") * F.log(F.col("n1") / F.col("n") / evident) + F.when(n0 > 0, n0 * F.log(n0 / F.col("n") / (1 - evident))).otherwise(0)
     often = F.col("n1") * (1 - evident) > ODDS * evident * n0
-    lexicon = counts.filter(often).withColumn("gain", gain).filter(F.col("gain") > least).orderBy(F.desc("gain"), "word").collect()
-    out.words = {r.word: i for i, r in enumerate(lexicon)}
+    lexicon = _general(counts, counts.filter(often).withColumn("gain", gain).filter(F.col("gain") > least), evident)
+    lexicon.sort(key=lambda r: (-r.gain, r.word.endswith("*"), -len(r.word), r.word))
+    out.words = lexicon_numbers = {r.word: i for i, r in enumerate(lexicon)}
     start = np.array([math.log((r.n1 + 0.5) / (r.n - r.n1 + 0.5) / evident * (1 - evident)) for r in lexicon])
-    words = out.words
     schema = pa.schema([("toxic", pa.int32()), ("gaps", pa.list_(pa.int64())), ("words", pa.list_(pa.int32()))])
 
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = _Numbers(lexicon_numbers)
         for batch in batches:
             for part in pieces(batch):
-                rows = [sequence(x, words) for x in texts(part)]
+                rows = [sequence(_WORD.findall(folded(x)[0]), numbers) for x in texts(part)]
                 yield pa.RecordBatch.from_arrays([part.column("toxic").cast(pa.int32()), pa.array([g for g, _ in rows], schema.field(1).type), pa.array([w for _, w in rows], schema.field(2).type)], schema=schema)
 
     rows = []
@@ -310,19 +358,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Field:
 def tag(text: str, model: Field) -> list[tuple[int, int, float]]:
     """(start, end, marginal) of the lexicon words that are toxic at 0.5 or more, in code points of the text; neighbours are joined to one span."""
     low, places = folded(text)
-    gaps, hot, at, gap = [], [], [], 0
-    for match in _WORD.finditer(low):
-        number = model.words.get(match[0])
-        if number is None:
-            gap += 1
-        else:
-            gaps.append(gap)
-            hot.append(number)
-            at.append(match.span())
-            gap = 0
+    matches = list(_WORD.finditer(low))
+    gaps, hot = sequence([m[0] for m in matches], model.numbers)
     if not hot:
         return []
-    g, _, w = _padded([([*gaps, gap], hot)], model.weights)
+    at = [matches[i].span() for i in (np.cumsum(np.array(gaps[:-1]) + 1) - 1).tolist()]
+    g, _, w = _padded([(gaps, hot)], model.weights)
     found: list[tuple[int, int, float]] = []
     for i, ((start, end), p) in enumerate(zip(at, _passes(g, w, model.shared)[1][0].tolist(), strict=True)):
         if p >= 0.5:
@@ -340,10 +381,10 @@ def expected(rows: list[str], model: Field) -> np.ndarray:
     out = np.zeros(len(rows))
     found: dict[int, list[tuple[int, list[int], list[int]]]] = {}
     for i, text in enumerate(rows):
-        low = folded(text)[0]
-        if model.words and not model.words.keys().isdisjoint(_WORD.findall(low)):
-            gaps, hot = sequence(text, model.words)
-            found.setdefault(len(hot).bit_length(), []).append((i, gaps, hot))
+        if model.words:
+            gaps, hot = sequence(_WORD.findall(folded(text)[0]), model.numbers)
+            if hot:
+                found.setdefault(len(hot).bit_length(), []).append((i, gaps, hot))
     for group in found.values():
         for at in range(0, len(group), 256):
             part = group[at : at + 256]
