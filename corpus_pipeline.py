@@ -9,7 +9,8 @@ written as Parquet and read again.
 2. language: trained on the ``lang`` of the documents left; documents without a
    letter, or whose best language has less than half of the likelihood, go.
 3. near_duplicates: of each component of documents whose five-word shingles have a
-   Jaccard similarity of 0.8 or more the least id stays.
+   Jaccard similarity of 0.8 or more the least id stays; candidates come from SimHash
+   anchors and, as these reach three bits only, from min-hash bands.
 4. substrings: word windows that an earlier document has are cut out; ``text`` and
    ``n_chars`` change, no document goes.
 5. packing: sequences of at most 1024 tokens.
@@ -49,7 +50,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
 STAGES = [("toxicity", clean), ("language", identified), ("near_duplicates", distinct), ("substrings", without_repeats), ("packing", packed)]
