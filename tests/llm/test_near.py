@@ -73,3 +73,47 @@ def test_rows_and_columns(spark):
     assert got.schema == docs.schema
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in got.collect()) == [(-1, b), (3, a), (7, "")]
     assert near.keep_one(docs.limit(0)).collect() == []
+
+
+def test_pairs_that_may_be_similar_are_found_in_any_batches():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 256, 200, dtype=np.uint8)
+    rows = []
+    for key, size in [(1, 1), (2, 3), (3, 60), (4, 2), (5, 1)]:
+        for _ in range(size):
+            least = base.copy()
+            least[rng.permutation(200)[: rng.integers(0, 90)]] += 1
+            rows.append((key, len(rows), int(rng.integers(0, 40)), int(rng.integers(90, 120)), least.tobytes()))
+    want = []
+    for i, x in enumerate(rows):
+        for y in rows[i + 1 :]:
+            same = sum(p == q for p, q in zip(x[4], y[4], strict=True))
+            if x[0] == y[0] and x[2] != y[2] and min(x[3], y[3]) + 1 >= 0.8 * max(x[3], y[3]) and same >= near.AGREE:
+                want.append((x[1], y[1]))
+    table = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=["key", "node", "root", "n", "bytes"])
+    assert len(want) > 20
+    for size in (1, 2, 7, 100):
+        got = [tuple(r.values()) for b in near._alike(table.slice(i, size) for i in range(0, len(rows), size)) for r in b.to_pylist()]
+        assert sorted(got) == want
+
+
+def test_a_large_family_below_the_threshold_makes_few_pairs(spark, make_docs, monkeypatch):
+    """Copies that share bands, but are less similar than 0.8, are compared where they meet."""
+    rng = random.Random(4)
+    base = ["".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(40)]
+    texts = set()
+    while len(texts) < 300:
+        copy = list(base)
+        for _ in range(2):
+            copy[rng.randrange(40)] = "".join(rng.choice("abcdefg") for _ in range(6))
+        texts.add(" ".join(copy))
+    texts = [" ".join(base), *sorted(texts)]
+    kept = []
+    keep = near.Scratch.keep
+    monkeypatch.setattr(near.Scratch, "keep", lambda self, df, name: kept.append((name, out := keep(self, df, name), out.count())) or out)
+    got = {r.doc_id for r in near.keep_one(make_docs(texts)).collect()}
+    assert got == slow(texts)
+    assert sum(n for name, _, n in kept if name == "pairs") < 300 * 60
