@@ -15,13 +15,14 @@ candidate if a band is equal. A pair at 0.8 is missed with chance
 (1 - 0.8 ** 5) ** 40, about one in eight million, a closer one less often.
 
 Documents with the same set are one node. A group of nodes with an equal band is
-first linked in chains, each node against the one before it, in a new order each
+first linked in chains, each node with the one before it, in a new order each
 round, so a large family is joined by few comparisons and has no hot node. Then
-every pair of a band's nodes that is in different components still is compared where
-the band's nodes meet, by a byte of each of the signatures' minima; only pairs that
-agree in ``AGREE`` of them, at least as many as all but one in two million of the pairs
-at 0.8 do, leave the task and are decided by their sets. So a large family that shares
-bands, but is less similar, makes no rows of pairs.
+every pair of a band's nodes that is in different components still is tried. Pairs are
+compared first where the band's nodes meet, by a byte of each of the signatures'
+minima; only those that agree in ``AGREE`` of them, at least as many as all but one in two million of the pairs
+at 0.8 do, leave the task and are decided by their sets; sets of ``SMALL`` shingles or
+fewer decide there and then. So a large family of short texts that share bands, but are
+less similar, makes no rows of pairs, and one of long texts few.
 
 Words and short texts are treated as in ``sketch``; null texts count as empty.
 Repeated rows and null ids are treated as in ``simhash.keep_one``.
@@ -29,7 +30,8 @@ Repeated rows and null ids are treated as in ``simhash.keep_one``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +48,8 @@ SIMILAR = 0.8
 BANDS, ROWS = 40, 5
 #: Of so many minima, those in which a pair at 0.8 agrees: five standard deviations below 160.
 AGREE = 132
+#: Sets up to this size go along to where a band's nodes meet, and decide there.
+SMALL = 128
 #: Rounds of chains before all remaining pairs are compared.
 CHAINS = 2
 _SEED = 42
@@ -54,7 +58,7 @@ _PART = 1 << 16
 _XOR = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
 _TIMES = mix(np.arange(1001, BANDS * ROWS + 1001, dtype=np.uint64)) | np.uint64(1)
 
-_NODES = pa.schema([("did", pa.int64()), ("t", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64())), ("bytes", pa.binary())])
+_NODES = pa.schema([("did", pa.int64()), ("t", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64())), ("bytes", pa.binary()), ("small", pa.binary())])
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -103,6 +107,7 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array([majority([x[at : at + _PART] for at in range(0, len(x), _PART)]) for x in sets], pa.uint64()).view(pa.int64()),
                     pa.array([bands(x).view(np.int64) for x in least], pa.list_(pa.int64())),
                     pa.array([mix(x).astype(np.uint8).tobytes() for x in least], pa.binary()),
+                    pa.array([x.tobytes() if len(x) <= SMALL else b"" for x in sets], pa.binary()),
                 ],
                 schema=_NODES,
             )
@@ -120,7 +125,20 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(close, pa.bool_()))
 
 
-def agreeing(node: np.ndarray, root: np.ndarray, n: np.ndarray, least: np.ndarray) -> Iterator[np.ndarray]:
+@functools.lru_cache(maxsize=1 << 14)
+def _set(hashes: bytes) -> frozenset:
+    return frozenset(np.frombuffer(hashes, dtype=np.uint64).tolist())
+
+
+def _may(x: bytes, y: bytes) -> bool:
+    """Whether two sets are similar, if both are small; else it is open."""
+    if not x or not y:
+        return True
+    both = len(_set(x) & _set(y))
+    return both >= SIMILAR * (len(x) // 8 + len(y) // 8 - both)
+
+
+def agreeing(node: np.ndarray, root: np.ndarray, n: np.ndarray, least: np.ndarray, small: list[bytes]) -> Iterator[np.ndarray]:
     """Pairs of nodes of different components that may be similar by their sizes and minima."""
     every = np.arange(len(node))
     for at in range(0, len(node) - 1, 32):
@@ -131,21 +149,31 @@ def agreeing(node: np.ndarray, root: np.ndarray, n: np.ndarray, least: np.ndarra
         left, right = left + at, right + at + 1
         for k in range(0, len(left), 1 << 15):
             a, b = left[k : k + (1 << 15)], right[k : k + (1 << 15)]
-            kept = (least[a] == least[b]).sum(axis=1) >= AGREE
-            if kept.any():
+            kept = np.flatnonzero((least[a] == least[b]).sum(axis=1) >= AGREE)
+            kept = kept[[_may(small[x], small[y]) for x, y in zip(a[kept].tolist(), b[kept].tolist(), strict=True)]] if len(kept) else kept
+            if len(kept):
                 yield np.stack([node[a[kept]], node[b[kept]]], axis=1)
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (key, node, root, n, bytes) sorted by key: the pairs of each key that may be similar."""
+def neighbours(node: np.ndarray, root: np.ndarray, n: np.ndarray, least: np.ndarray, small: list[bytes]) -> Iterator[np.ndarray]:
+    """The same of each node and the next one only."""
+    kept = (root[1:] != root[:-1]) & (np.minimum(n[1:], n[:-1]) + 1 >= SIMILAR * np.maximum(n[1:], n[:-1]))
+    kept &= (least[1:] == least[:-1]).sum(axis=1) >= AGREE
+    if kept.any():
+        yield np.stack([node[:-1][kept], node[1:][kept]], axis=1)
+
+
+def _alike(batches: Iterator[pa.RecordBatch], pairs: Callable = agreeing) -> Iterator[pa.RecordBatch]:
+    """From rows (key, node, root, n, bytes, small) sorted by key: pairs of each key that may be similar."""
     held: list[pa.RecordBatch] = []
 
     def groups(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         key, node, root, n = (rows.column(i).to_numpy() for i in range(4))
         least = np.frombuffer(b"".join(rows.column(4).to_pylist()), dtype=np.uint8).reshape(len(key), BANDS * ROWS)
+        small = rows.column(5).to_pylist()
         starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True):
-            for found in agreeing(node[a:b], root[a:b], n[a:b], least[a:b]):
+            for found in pairs(node[a:b], root[a:b], n[a:b], least[a:b], small[a:b]):
                 yield pa.RecordBatch.from_arrays([pa.array(found.min(axis=1)), pa.array(found.max(axis=1))], schema=_PAIRS)
 
     for batch in batches:
@@ -181,7 +209,6 @@ def _close(nodes: DataFrame, scratch: Scratch) -> DataFrame:
 
 def _roots(nodes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame | None:
     """(node, root) of each node that is not its own root; none if no two nodes may be alike."""
-    size = nodes.select("node", "n")
     close = _close(nodes.select("node", "fp"), scratch)
     keys = nodes.select("node", "n", F.explode("bands").alias("key"))
     sharing = F.count("*").over(Window.partitionBy("key"))
@@ -200,19 +227,13 @@ def _roots(nodes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame | N
             live = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
             mixed = live.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key")
             live = scratch.keep(live.join(mixed, "key", "left_semi"), "live")
+        dealt = live.join(nodes.select("node", "bytes", "small"), "node").select("key", "node", "root", "n", "bytes", "small").repartition("key")
         if turn < CHAINS:
-            order = Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(turn)), "node")
-            pairs = live.select("node", "n", "root", *(F.lag(c).over(order).alias(f"other_{c}") for c in ("node", "n", "root")))
-            if roots is None:
-                sizes = close.join(size.toDF("a", "n"), "a").join(size.toDF("b", "other_n"), "b")
-                sizes = sizes.select(F.col("a").alias("node"), "n", F.col("a").alias("root"), F.col("b").alias("other_node"), "other_n", F.col("b").alias("other_root"))
-                pairs = pairs.unionByName(sizes)
-            # Sets whose sizes differ by more can't be similar; one less allows for rounding.
-            pairs = pairs.filter("root <> other_root").filter(F.least("n", "other_n") + 1 >= SIMILAR * F.greatest("n", "other_n"))
-            pairs = pairs.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
+            dealt = dealt.sortWithinPartitions("key", F.xxhash64("node", F.lit(turn)), "node")
+            pairs = dealt.mapInArrow(functools.partial(_alike, pairs=neighbours), "a long, b long")
         else:
-            dealt = live.join(nodes.select("node", "bytes"), "node").select("key", "node", "root", "n", "bytes")
-            pairs = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_alike, "a long, b long").distinct()
+            pairs = dealt.sortWithinPartitions("key").mapInArrow(_alike, "a long, b long")
+        pairs = (pairs.unionByName(close) if roots is None else pairs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = scratch.keep(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         if roots is not None:
             scratch.drop(live)
@@ -232,8 +253,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     id, null ids last, and of equal ids the least hash of the text."""
     scratch = Scratch(docs.sparkSession)
     rows = rows_of(docs)
-    found = scratch.keep(rows.select("did", "text").mapInArrow(_nodes, "did long, t long, node long, n long, fp long, bands array<long>, bytes binary"), "nodes")
-    nodes = scratch.keep(found.groupBy("node").agg(F.min(F.struct("did", "t")).alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("bytes").alias("bytes")), "distinct")
+    found = scratch.keep(rows.select("did", "text").mapInArrow(_nodes, "did long, t long, node long, n long, fp long, bands array<long>, bytes binary, small binary"), "nodes")
+    nodes = scratch.keep(found.groupBy("node").agg(F.min(F.struct("did", "t")).alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("bytes").alias("bytes"), F.first("small").alias("small")), "distinct")
     repeated = not found.groupBy("did", "t").count().filter("count > 1").isEmpty()
     scratch.drop(found)
     roots = _roots(nodes, docs, scratch)

@@ -86,14 +86,14 @@ def test_pairs_that_may_be_similar_are_found_in_any_batches():
         for _ in range(size):
             least = base.copy()
             least[rng.permutation(200)[: rng.integers(0, 90)]] += 1
-            rows.append((key, len(rows), int(rng.integers(0, 40)), int(rng.integers(90, 120)), least.tobytes()))
+            rows.append((key, len(rows), int(rng.integers(0, 40)), int(rng.integers(90, 120)), least.tobytes(), b""))
     want = []
     for i, x in enumerate(rows):
         for y in rows[i + 1 :]:
             same = sum(p == q for p, q in zip(x[4], y[4], strict=True))
             if x[0] == y[0] and x[2] != y[2] and min(x[3], y[3]) + 1 >= 0.8 * max(x[3], y[3]) and same >= near.AGREE:
                 want.append((x[1], y[1]))
-    table = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=["key", "node", "root", "n", "bytes"])
+    table = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=["key", "node", "root", "n", "bytes", "small"])
     assert len(want) > 20
     for size in (1, 2, 7, 100):
         got = [tuple(r.values()) for b in near._alike(table.slice(i, size) for i in range(0, len(rows), size)) for r in b.to_pylist()]
