@@ -18,11 +18,14 @@ Documents with the same set are one node. A group of nodes with an equal band is
 first linked in chains, each node with the one before it, in a new order each
 round, so a large family is joined by few comparisons and has no hot node. Then
 every pair of a band's nodes that is in different components still is tried. Pairs are
-compared first where the band's nodes meet, by a byte of each of the signatures'
-minima; only those that agree in ``AGREE`` of them, at least as many as all but one in two million of the pairs
-at 0.8 do, leave the task and are decided by their sets; sets of ``SMALL`` shingles or
-fewer decide there and then. So a large family of short texts that share bands, but are
-less similar, makes no rows of pairs, and one of long texts few.
+compared first where the band's nodes meet: by a byte of each of the signatures'
+minima, of which ``AGREE`` must be equal, as in all but one in two million of the pairs
+at 0.8, then by sketches, the least ``SKETCH`` of 32-bit hashes of the shingles. These
+are whole sets up to that size; of larger ones a pair at 0.8 falls short by five standard
+deviations once in three million. Only pairs that pass leave the task and are decided by
+their sets, so a large family that shares bands, but is less similar, makes few rows of
+pairs. A band of more than ``BLOCK`` nodes is dealt to many tasks: in chains by blocks,
+for all pairs by pairs of blocks.
 
 Words and short texts are treated as in ``sketch``; null texts count as empty.
 Repeated rows and null ids are treated as in ``simhash.keep_one``.
@@ -39,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from korrel.llm.common import Scratch, components, pieces
+from korrel.llm.common import HOT, MOST_HOT, Scratch, components, pieces
 from korrel.llm.simhash import keep_rows, links, majority, rows_of
 from korrel.llm.windows import gram_hashes, mix
 
@@ -48,8 +51,10 @@ SIMILAR = 0.8
 BANDS, ROWS = 40, 5
 #: Of so many minima, those in which a pair at 0.8 agrees: five standard deviations below 160.
 AGREE = 132
-#: Sets up to this size go along to where a band's nodes meet, and decide there.
-SMALL = 128
+#: Hashes in a sketch; it goes along to where a band's nodes meet.
+SKETCH = 512
+#: Nodes of a band up to which one task has all of them.
+BLOCK = 2048
 #: Rounds of chains before all remaining pairs are compared.
 CHAINS = 2
 _SEED = 42
@@ -58,7 +63,7 @@ _PART = 1 << 16
 _XOR = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
 _TIMES = mix(np.arange(1001, BANDS * ROWS + 1001, dtype=np.uint64)) | np.uint64(1)
 
-_NODES = pa.schema([("did", pa.int64()), ("t", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64())), ("bytes", pa.binary()), ("small", pa.binary())])
+_NODES = pa.schema([("did", pa.int64()), ("t", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64())), ("bytes", pa.binary())])
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -78,6 +83,11 @@ def minima(hashes: np.ndarray, count: int) -> np.ndarray:
     return least
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """The least of a set's 32-bit hashes, sorted, ``SKETCH`` at most."""
+    return np.unique((mix(hashes) >> np.uint64(32)).astype(np.uint32))[:SKETCH]
+
+
 def bands(least: np.ndarray) -> np.ndarray:
     """A hash of each band of a set's minima, different for different bands."""
     out = np.arange(BANDS, dtype=np.uint64)
@@ -107,7 +117,6 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array([majority([x[at : at + _PART] for at in range(0, len(x), _PART)]) for x in sets], pa.uint64()).view(pa.int64()),
                     pa.array([bands(x).view(np.int64) for x in least], pa.list_(pa.int64())),
                     pa.array([mix(x).astype(np.uint8).tobytes() for x in least], pa.binary()),
-                    pa.array([x.tobytes() if len(x) <= SMALL else b"" for x in sets], pa.binary()),
                 ],
                 schema=_NODES,
             )
@@ -116,7 +125,8 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in pieces(batch):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(x).tobytes() for x in part.column("text").to_pylist()], pa.binary())], names=["node", "hashes"])
+            sets = [shingles(x) for x in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([sketch(x).tobytes() for x in sets], pa.binary())], names=["node", "hashes", "sketch"])
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,21 +135,25 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(close, pa.bool_()))
 
 
-@functools.lru_cache(maxsize=1 << 14)
-def _set(hashes: bytes) -> frozenset:
-    return frozenset(np.frombuffer(hashes, dtype=np.uint64).tolist())
-
-
-def _may(x: bytes, y: bytes) -> bool:
-    """Whether two sets are similar, if both are small; else it is open."""
-    if not x or not y:
-        return True
-    both = len(_set(x) & _set(y))
-    return both >= SIMILAR * (len(x) // 8 + len(y) // 8 - both)
-
-
-def agreeing(node: np.ndarray, root: np.ndarray, n: np.ndarray, least: np.ndarray, small: list[bytes]) -> Iterator[np.ndarray]:
-    """Pairs of nodes of different components that may be similar by their sizes and minima."""
+def _may(mine: np.ndarray, others: list[np.ndarray], n: int, sizes: np.ndarray) -> np.ndarray:
+    """Whether a set may be similar to each of some others, by the sketches and sizes of all."""
+    every = np.uint32((1 << 32) - 1)
+    ends = np.array([x[-1] for x in others], dtype=np.uint32)  # sketches of larger sets are complete up to their end
+    upto = np.minimum(np.where(sizes > SKETCH, ends, every), mine[-1] if n > SKETCH else every)
+    owner = np.repeat(np.arange(len(others)), [len(x) for x in others])
+    theirs = np.concatenate(others)
+    inside = theirs <= upto[owner]
+    owner, theirs = owner[inside], theirs[inside]
+    equal = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+    both = np.bincount(owner[equal], minlength=len(others))
+    union = np.searchsorted(mine, upto, side="right") + np.bincount(owner, minlength=len(others)) - both
+    lost = np.maximum(sizes - [len(x) for x in others], 0) + max(n - len(mine), 0)  # by equal hashes, in whole sets
+    error = np.where((sizes > SKETCH) | (n > SKETCH), 5 * np.sqrt(SIMILAR * (1 - SIMILAR) * union) + 2, lost)
+    return both + error + 1e-6 >= SIMILAR * union
+
+
+def agreeing(node: np.ndarray, root: np.ndarray, n: np.ndarray, least: np.ndarray, sketches: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """Pairs of nodes of different components that may be similar by their sizes, minima and sketches."""
     every = np.arange(len(node))
     for at in range(0, len(node) - 1, 32):
         i = every[at : at + 32, None]
@@ -150,31 +164,37 @@ def agreeing(node: np.ndarray, root: np.ndarray, n: np.ndarray, least: np.ndarra
         for k in range(0, len(left), 1 << 15):
             a, b = left[k : k + (1 << 15)], right[k : k + (1 << 15)]
             kept = np.flatnonzero((least[a] == least[b]).sum(axis=1) >= AGREE)
-            kept = kept[[_may(small[x], small[y]) for x, y in zip(a[kept].tolist(), b[kept].tolist(), strict=True)]] if len(kept) else kept
-            if len(kept):
-                yield np.stack([node[a[kept]], node[b[kept]]], axis=1)
+            a, b = a[kept], b[kept]
+            for group in np.split(np.arange(len(a)), np.flatnonzero(np.diff(a)) + 1):
+                if len(group):
+                    x, others = a[group[0]], b[group]
+                    others = others[_may(sketches[x], [sketches[y] for y in others], n[x], n[others])]
+                    if len(others):
+                        yield np.stack([np.full(len(others), node[x]), node[others]], axis=1)
 
 
-def neighbours(node: np.ndarray, root: np.ndarray, n: np.ndarray, least: np.ndarray, small: list[bytes]) -> Iterator[np.ndarray]:
+def neighbours(node: np.ndarray, root: np.ndarray, n: np.ndarray, least: np.ndarray, sketches: list[np.ndarray]) -> Iterator[np.ndarray]:
     """The same of each node and the next one only."""
     kept = (root[1:] != root[:-1]) & (np.minimum(n[1:], n[:-1]) + 1 >= SIMILAR * np.maximum(n[1:], n[:-1]))
     kept &= (least[1:] == least[:-1]).sum(axis=1) >= AGREE
-    if kept.any():
-        yield np.stack([node[:-1][kept], node[1:][kept]], axis=1)
+    for at in np.flatnonzero(kept):
+        if _may(sketches[at], [sketches[at + 1]], n[at], n[at + 1 : at + 2])[0]:
+            yield node[None, at : at + 2]
 
 
 def _alike(batches: Iterator[pa.RecordBatch], pairs: Callable = agreeing) -> Iterator[pa.RecordBatch]:
-    """From rows (key, node, root, n, bytes, small) sorted by key: pairs of each key that may be similar."""
+    """From rows (key, node, root, n, bytes, sketch) sorted by key: pairs of each key that may be similar."""
     held: list[pa.RecordBatch] = []
 
     def groups(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         key, node, root, n = (rows.column(i).to_numpy() for i in range(4))
         least = np.frombuffer(b"".join(rows.column(4).to_pylist()), dtype=np.uint8).reshape(len(key), BANDS * ROWS)
-        small = rows.column(5).to_pylist()
+        sketches = [np.frombuffer(x, dtype=np.uint32) for x in rows.column(5).to_pylist()]
         starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True):
-            for found in pairs(node[a:b], root[a:b], n[a:b], least[a:b], small[a:b]):
-                yield pa.RecordBatch.from_arrays([pa.array(found.min(axis=1)), pa.array(found.max(axis=1))], schema=_PAIRS)
+            if found := list(pairs(node[a:b], root[a:b], n[a:b], least[a:b], sketches[a:b])):
+                ends = np.concatenate(found)
+                yield pa.RecordBatch.from_arrays([pa.array(ends.min(axis=1)), pa.array(ends.max(axis=1))], schema=_PAIRS)
 
     for batch in batches:
         if not batch.num_rows:
@@ -207,27 +227,52 @@ def _close(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep(same.unionByName(found.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))), "close")
 
 
+def _counted(rows: DataFrame, counts: DataFrame, n: int) -> DataFrame:
+    """The rows (n of them at most) whose key ``counts`` has, with their key's number of rows, ``many``.
+
+    Keys of more than ``max(HOT, n / 1000)`` rows, at most 1000 or ``n / HOT``, are
+    looked up by a broadcast, so that no task gets all rows of a key.
+    """
+    most = max(HOT, n // MOST_HOT)
+    hot = F.broadcast(counts.filter(F.col("many") > most).withColumnRenamed("key", "hot"))
+    marked = rows.join(hot, F.col("key") == F.col("hot"), "left")
+    cold = marked.filter("hot is null").drop("hot", "many").join(counts.filter(F.col("many") <= most), "key")
+    return cold.unionByName(marked.filter("hot is not null").drop("hot").select(cold.columns))
+
+
+def _cells(live: DataFrame, turn: int, chain: bool) -> DataFrame:
+    """``live`` with keys of more than ``BLOCK`` rows split: a row goes to its block, or to all pairs of blocks with its own."""
+    blocks = F.ceil(F.col("many") / BLOCK)
+    rows = live.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node", F.lit(turn)), F.col("blocks")))
+    cell = F.struct(F.col("mine").alias("x"), F.col("mine").alias("y"))
+    cells = F.array(cell) if chain else F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda i: F.struct(F.least("mine", i).alias("x"), F.greatest("mine", i).alias("y")))
+    rows = rows.withColumn("cell", F.explode(cells))
+    return rows.withColumn("key", F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", "cell.x", "cell.y"))).drop("blocks", "mine", "cell", "many")
+
+
 def _roots(nodes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame | None:
     """(node, root) of each node that is not its own root; none if no two nodes may be alike."""
     close = _close(nodes.select("node", "fp"), scratch)
     keys = nodes.select("node", "n", F.explode("bands").alias("key"))
-    sharing = F.count("*").over(Window.partitionBy("key"))
-    members = scratch.keep(keys.withColumn("sharing", sharing).filter("sharing > 1").drop("sharing"), "members")
+    counts = scratch.keep(keys.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1"), "counts")
+    members = scratch.keep(_counted(keys, counts, nodes.count() * BANDS), "members")
     if members.isEmpty() and close.isEmpty():
         return None
     asked = members.select("node").unionByName(close.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
-    some = nodes.join(asked, "node", "left_semi").select("node", F.col("least.did").alias("did"), F.col("least.t").alias("t"))
-    found = rows_of(docs).join(some, ["did", "t"]).select("node", "text")
-    sets = scratch.keep(found.mapInArrow(_sets, "node long, hashes binary").dropDuplicates(["node"]), "sets")
+    some = scratch.keep(nodes.join(asked, "node", "left_semi").select("node", "bytes", F.col("least.did").alias("did"), F.col("least.t").alias("t")), "asked")
+    found = rows_of(docs).join(some.drop("bytes"), ["did", "t"]).select("node", "text")
+    sets = scratch.keep(found.mapInArrow(_sets, "node long, hashes binary, sketch binary").dropDuplicates(["node"]), "sets")
+    facts = some.select("node", "bytes").join(sets.select("node", "sketch"), "node")
+    sets, n = sets.select("node", "hashes"), members.count()
     scratch.release()
     tested = links = roots = None
     for turn in range(CHAINS + 1):
         live = members.withColumn("root", F.col("node"))
         if roots is not None:
-            live = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            mixed = live.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key")
-            live = scratch.keep(live.join(mixed, "key", "left_semi"), "live")
-        dealt = live.join(nodes.select("node", "bytes", "small"), "node").select("key", "node", "root", "n", "bytes", "small").repartition("key")
+            live = members.drop("many").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            mixed = live.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("many")).filter("x <> y").select("key", "many")
+            live = scratch.keep(_counted(live, scratch.keep(mixed, "mixed"), n), "live")
+        dealt = _cells(live, turn, turn < CHAINS).join(facts, "node").select("key", "node", "root", "n", "bytes", "sketch").repartition("key")
         if turn < CHAINS:
             dealt = dealt.sortWithinPartitions("key", F.xxhash64("node", F.lit(turn)), "node")
             pairs = dealt.mapInArrow(functools.partial(_alike, pairs=neighbours), "a long, b long")
@@ -253,8 +298,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     id, null ids last, and of equal ids the least hash of the text."""
     scratch = Scratch(docs.sparkSession)
     rows = rows_of(docs)
-    found = scratch.keep(rows.select("did", "text").mapInArrow(_nodes, "did long, t long, node long, n long, fp long, bands array<long>, bytes binary, small binary"), "nodes")
-    nodes = scratch.keep(found.groupBy("node").agg(F.min(F.struct("did", "t")).alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("bytes").alias("bytes"), F.first("small").alias("small")), "distinct")
+    found = scratch.keep(rows.select("did", "text").mapInArrow(_nodes, "did long, t long, node long, n long, fp long, bands array<long>, bytes binary"), "nodes")
+    nodes = scratch.keep(found.groupBy("node").agg(F.min(F.struct("did", "t")).alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("bytes").alias("bytes")), "distinct")
     repeated = not found.groupBy("did", "t").count().filter("count > 1").isEmpty()
     scratch.drop(found)
     roots = _roots(nodes, docs, scratch)

@@ -81,19 +81,19 @@ def test_pairs_that_may_be_similar_are_found_in_any_batches():
 
     rng = np.random.default_rng(3)
     base = rng.integers(0, 256, 200, dtype=np.uint8)
-    rows = []
+    rows, sketch = [], np.arange(120, dtype=np.uint32).tobytes()
     for key, size in [(1, 1), (2, 3), (3, 60), (4, 2), (5, 1)]:
         for _ in range(size):
             least = base.copy()
             least[rng.permutation(200)[: rng.integers(0, 90)]] += 1
-            rows.append((key, len(rows), int(rng.integers(0, 40)), int(rng.integers(90, 120)), least.tobytes(), b""))
+            rows.append((key, len(rows), int(rng.integers(0, 40)), int(rng.integers(90, 120)), least.tobytes(), sketch))
     want = []
     for i, x in enumerate(rows):
         for y in rows[i + 1 :]:
             same = sum(p == q for p, q in zip(x[4], y[4], strict=True))
             if x[0] == y[0] and x[2] != y[2] and min(x[3], y[3]) + 1 >= 0.8 * max(x[3], y[3]) and same >= near.AGREE:
                 want.append((x[1], y[1]))
-    table = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=["key", "node", "root", "n", "bytes", "small"])
+    table = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=["key", "node", "root", "n", "bytes", "sketch"])
     assert len(want) > 20
     for size in (1, 2, 7, 100):
         got = [tuple(r.values()) for b in near._alike(table.slice(i, size) for i in range(0, len(rows), size)) for r in b.to_pylist()]
@@ -116,4 +116,37 @@ def test_a_large_family_below_the_threshold_makes_few_pairs(spark, make_docs, mo
     monkeypatch.setattr(near.Scratch, "keep", lambda self, df, name: kept.append((name, out := keep(self, df, name), out.count())) or out)
     got = {r.doc_id for r in near.keep_one(make_docs(texts)).collect()}
     assert got == slow(texts)
-    assert sum(n for name, _, n in kept if name == "pairs") < 300 * 60
+    assert sum(n for name, _, n in kept if name == "pairs") < 300 * 6
+
+
+def test_sketches_lose_no_similar_pair():
+    import numpy as np
+
+    from korrel.llm.windows import mix
+
+    rng = np.random.default_rng(8)
+    passed = 0
+    for size in (1, 4, 30, 500, 513, 700, 6000):
+        for similar in (0.8, 0.6):
+            mine = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+            others = []
+            for extra in (0, size // 10, size // 3):
+                common = int(np.ceil(similar * (2 * size + extra) / (1 + similar)))
+                others.append(np.concatenate([mine[: min(size, common)], rng.integers(0, 1 << 63, max(0, size + extra - common), dtype=np.uint64)]))
+            exact = [near.similarity(np.sort(mine), np.sort(x)) >= near.SIMILAR for x in others]
+            may = near._may(near.sketch(mine), [near.sketch(x) for x in others], size, np.array([len(x) for x in others]))
+            assert all(m for m, e in zip(may, exact, strict=True) if e)
+            if size <= near.SKETCH:
+                assert may.tolist() == exact
+            elif similar == 0.6:
+                assert not may.any()
+            passed += sum(exact)
+    assert passed >= 14
+    assert len(near.sketch(mix(np.arange(5000, dtype=np.uint64)))) == near.SKETCH
+
+
+@pytest.mark.parametrize("block", [1, 3])
+def test_large_bands_are_dealt_by_pairs_of_blocks(spark, make_docs, texts, monkeypatch, block):
+    monkeypatch.setattr(near, "BLOCK", block)
+    monkeypatch.setattr(near, "HOT", 1)
+    assert {r.doc_id for r in near.keep_one(make_docs(texts)).collect()} == slow(texts)
