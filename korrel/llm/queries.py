@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from korrel.llm import bpe, language, licences, media, packing, simhash, sketch, substring_index, suffix, toxicity
 from korrel.llm.common import documents
 
+#: Different shingles up to which op5's fingerprints hold a text whole.
+SKETCH_WHOLE = 256
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -35,7 +38,7 @@ def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sketch.compare_with_next(documents(spark, sf_dir))
+    return sketch.compare_with_next(documents(spark, sf_dir), whole=SKETCH_WHOLE)
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

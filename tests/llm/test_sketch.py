@@ -114,3 +114,59 @@ def test_rows_without_an_id_are_spread(spark, make_docs, parts):
     order = sorted(texts, key=lambda x: (x[0] is None, -(x[0] or 0), signed(x[1])))
     want = sorted(hashlib.sha256((t[: len(t) - len(t) // 2] + u[: len(t) // 2]).encode()).hexdigest() for (_, t), (_, u) in zip(order, order[1:] + order[:1], strict=True))
     assert sorted(r.edited_sha256 for r in rows) == want
+
+
+def test_long_texts_are_scaled():
+    rng = random.Random(5)
+    for n, parts in [(5004, 1), (5600, 2), (11_000, 4), (50_000, 8), (120_000, 8)]:
+        text = " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+        every, own = sketch.shingles(text), sketch.sketch(text)
+        assert len(every) == n - 4 and sketch.parts_of(own) == parts
+        assert (own == every[every < (1 << 48) // parts]).all() and len(own) == pytest.approx(n / parts, rel=0.1)
+        assert (sketch.read(sketch.show(own)) == own).all()
+
+
+@pytest.mark.parametrize("whole", [256, 5000])
+def test_merging_scaled_sketches(whole):
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 1 << 48, 60_000, dtype=np.uint64)
+    for _ in range(60):
+        sets = [rng.choice(pool, int(10 ** rng.uniform(0, 4.7))) for _ in range(rng.integers(1, 5))]
+        merged = sketch.merge(*(sketch._scaled(x, whole) for x in sets), whole=whole)
+        assert np.array_equal(merged, sketch._scaled(np.concatenate(sets), whole))
+
+
+def test_query_scales_and_finds_short_texts_in_long_ones(spark, tmp_path, make_docs):
+    from korrel.llm.queries import op5_sketch
+
+    rng = random.Random(6)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for n in [300, 700, 1500, 4000, 20_000]:
+        long = words(n)
+        for m in [2, 5, 6, 12, 30, 200]:
+            at = rng.randrange(n - m)
+            texts += [long, long[at : at + m]]  # by descending id, the short text comes first and the long one next
+        texts += [long, long[: n // 2] + words(n // 4)]
+    make_docs([" ".join(x) for x in texts]).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = sorted(op5_sketch(spark, str(tmp_path)).collect(), key=lambda r: r.doc_id)
+    kept = n_all = 0
+    for r, words_ in zip(rows, texts, strict=True):
+        text, following = " ".join(words_), " ".join(texts[r.doc_id - 1])
+        own, new, theirs = map(shingle_sets, (text, text[: len(text) - len(text) // 2] + following[: len(text) // 2], following))
+        held = len(r.fingerprint) // 12
+        if len(own) <= 256:
+            assert held == len(own) and (r.near_edited, r.near_next) == (len(own & new) / len(own), len(own & theirs) / len(own))
+        else:
+            assert len(own) / 8 * 0.8 < held < max(257, len(own) / 8 * 1.2) and held > 96
+        for near, others in [(r.near_edited, new), (r.near_next, theirs)]:
+            assert near == pytest.approx(len(own & others) / len(own), abs=0.2)
+        if 5 <= len(words_) <= 200:
+            assert r.near_next == 1.0
+        kept, n_all = kept + held, n_all + len(own)
+    assert kept < n_all / 4
+
+
+def test_whole_is_checked(make_docs):
+    with pytest.raises(ValueError):
+        sketch.compare_with_next(make_docs(["a"]), whole=sketch.FEW)
